@@ -9,6 +9,7 @@ patterns are rewritten once on the driver and stay constants in the plan.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,14 +25,23 @@ _UNICODE = {
     "end": r"(?=\n?\z)",
 }
 _POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
-_POSIX_NAMES = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper",
-                "lower": "Lower", "punct": "Punct", "space": "Space", "blank": "Blank",
-                "cntrl": "Cntrl", "graph": "Graph", "print": "Print", "xdigit": "XDigit"}
+_POSIX_CLASSES = {
+    "alpha": "A-Za-z",
+    "digit": "0-9",
+    "alnum": "A-Za-z0-9",
+    "upper": "A-Z",
+    "lower": "a-z",
+    "word": "A-Za-z0-9_",
+    "xdigit": "A-Fa-f0-9",
+    "space": r"\t\n\x0B\f\r ",
+    "blank": r"\t ",
+}
 
-# Turkish i letters fold to "i" in java.util.regex but not in RE2. A private-use
-# character is non-word in every engine, exactly what they are to RE2.
+# Turkish i letters fold to "i" in java.util.regex but to nothing in RE2. Private-use
+# characters stand in for them, in text and pattern; they fold to nothing anywhere.
+# (Known residue: a class range that only spans these letters does not see them.)
 _TURKISH_I = "\u0130\u0131"
-_NEUTRAL = "\ue000\ue000"
+_NEUTRAL = "\ue000\ue001"
 
 
 def java_pattern(pattern: str, *, unicode_words: bool = False, ignore_case: bool = True) -> str:
@@ -51,6 +61,9 @@ def java_pattern(pattern: str, *, unicode_words: bool = False, ignore_case: bool
         "Z": r"\z",
     }
     inside = {"s": kind["space"], "S": f"[^{kind['space']}]"}
+    # Spelled out, so that folding applies to them as it does in RE2.
+    outside |= {"w": "[A-Za-z0-9_]", "W": "[^A-Za-z0-9_]"}
+    inside |= {"w": "A-Za-z0-9_", "W": "[^A-Za-z0-9_]"}
     if unicode_words:
         outside |= {"w": word, "W": r"[^\p{L}\p{N}_]", "d": r"\p{Nd}", "D": r"\P{Nd}"}
         inside |= {"w": r"\p{L}\p{N}_", "W": r"[^\p{L}\p{N}_]", "d": r"\p{Nd}", "D": r"\P{Nd}"}
@@ -73,7 +86,7 @@ def java_pattern(pattern: str, *, unicode_words: bool = False, ignore_case: bool
         elif in_class:
             posix = _POSIX.match(pattern, position)
             if posix:
-                out.append(f"\\{'P' if posix[1] else 'p'}{{{_POSIX_NAMES[posix[2]]}}}")
+                out.append(f"[{posix[1]}{_POSIX_CLASSES[posix[2]]}]")
                 position = posix.end()
                 continue
             if char == "]":
@@ -115,8 +128,66 @@ def re2_subject(col: Column) -> Column:
 def re2_match(col: Column | str, pattern: str) -> Column:
     """Case-insensitive ``regexp_matches(col, pattern, 'i')`` with RE2 semantics."""
     col = F.col(col) if isinstance(col, str) else col
-    subject = col if any(c in pattern for c in _TURKISH_I) else re2_subject(col)
-    return subject.rlike(java_pattern(pattern))
+    neutral = pattern.translate(str.maketrans(_TURKISH_I, _NEUTRAL))
+    return re2_subject(col).rlike(java_pattern(neutral))
+
+
+# Characters that fold to an ASCII letter although they are none: long s, Kelvin
+# sign, dotted and dotless i.
+FOLDING_CHARACTERS = "\u017f\u212a\u0130\u0131"
+
+_RANGE = re.compile(r"([^\\\[])-([^\]])")
+_WORD_GROUP = re.compile(r"\\b\(([^()\[\]]+)\)\\b")
+
+
+def folds_oddly(col: Column, characters: str = FOLDING_CHARACTERS) -> Column:
+    """True for text on which lower-casing is no substitute for ignoring case."""
+    tests = [col.contains(c) for c in characters]
+    return reduce(lambda a, b: a | b, tests)
+
+
+def matches_lower_case(pattern: str) -> bool:
+    """Can the pattern be tested, case-sensitively, on lower-cased text?
+
+    True for patterns of ASCII and Latin-1 letters without capitals, ranges other
+    than within a-z, 0-9 or à-ÿ, numeric escapes and inline flags.
+    Case-sensitive matching is several times faster in java.util.regex.
+    """
+    if not re.fullmatch("[\\x00-\\x7fà-öø-ÿ]*", pattern):
+        return False
+    if re.search(r"\(\?(?!:)|\\[xpPQ0-9cu]|\[:", pattern):
+        return False
+    if re.search(r"[A-Z]", re.sub(r"\\.", "", pattern)):
+        return False
+    classes = re.findall(r"\[(?:\\.|[^\]\\])*\]", pattern)
+    ranges = [r for c in classes for r in _RANGE.findall(c[1:-1].lstrip("^"))]
+    return all(
+        (a.isdigit() and b.isdigit())
+        or (a.isalpha() and b.isalpha() and a.isascii() == b.isascii())
+        for a, b in ranges
+    )
+
+
+def lower_case_pattern(pattern: str, *, unicode_words: bool = False) -> str:
+    """Spark form of a pattern for which ``matches_lower_case`` holds.
+
+    A boundary next to a literal word character needs to look one way only; in
+    ``\\b(word|other)\\b`` both do. The first letters go ahead of everything, as
+    the cheapest test at a position where nothing matches.
+    """
+    group = _WORD_GROUP.fullmatch(pattern)
+    if group:
+        branches = group[1].split("|")
+        plain = all(
+            re.match(r"[a-z0-9_](?![*?{])", b) and re.search(r"(?<!\\)[a-z0-9_]$", b)
+            for b in branches
+        )
+        if plain:
+            word = (_UNICODE if unicode_words else _ASCII)["word"]
+            body = java_pattern(group[1], unicode_words=unicode_words, ignore_case=False)
+            first = "".join(sorted({b[0] for b in branches}))
+            return f"(?d)(?=[{first}])(?<!{word})(?:{body.removeprefix('(?d)')})(?!{word})"
+    return java_pattern(pattern, unicode_words=unicode_words, ignore_case=False)
 
 
 def required_words(pattern: str) -> list[str] | None:
@@ -139,12 +210,6 @@ def required_words(pattern: str) -> list[str] | None:
     return sorted(set(words))
 
 
-def word_filter_text(col: Column) -> Column:
-    """Lower-cased text on which ``required_words`` can be tested with ``contains``."""
-    # U+017F folds to "s" in a case-insensitive match but lower() leaves it alone.
-    return F.lower(F.replace(col, F.lit("\u017f"), F.lit("s")))
-
-
 def contains_any(low: Column, words: list[str]) -> Column:
     test = low.contains(words[0])
     for word in words[1:]:

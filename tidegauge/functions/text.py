@@ -90,7 +90,8 @@ def nfkc_lower(col: Column | str) -> Column:
     row that does not need it.
     """
     col = F.col(col) if isinstance(col, str) else col
-    needs = col.rlike(NFKC_UNSAFE_PATTERN)
+    not_ascii = F.octet_length(col) != F.char_length(col)
+    needs = not_ascii & col.rlike(NFKC_UNSAFE_PATTERN)
     return F.coalesce(_nfkc(F.when(needs, col)), F.lower(col))
 
 
@@ -100,13 +101,15 @@ def contains_ignore_case(col: Column | str, query: str) -> Column:
     return F.lower(col).contains(query.strip(" \t\n\r\f\v").lower())
 
 
-def line_array(col: Column | str) -> Column:
-    """Lines of a text, split at ``\\n``, ``\\r\\n`` and ``\\r``.
+LINE_BREAK = "\r\n|\r|\n"
 
-    A newline at the very end closes the last line, it does not open another.
+
+def without_last_break(parts: Column) -> Column:
+    """Drop what a split leaves behind a break at the very end of a text.
+
+    A newline at the end closes the last line, it does not open another; an empty
+    text has no lines.
     """
-    col = F.col(col) if isinstance(col, str) else col
-    lines = F.split(col, "\r\n|\r|\n")
     return F.when(
-        F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)
-    ).otherwise(lines)
+        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+    ).otherwise(parts)

@@ -9,13 +9,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.regex import java_pattern
-from tidegauge.functions.text import line_array, nfkc_lower
+from tidegauge.functions.regex import (
+    folds_oddly,
+    java_pattern,
+    lower_case_pattern,
+    matches_lower_case,
+)
+from tidegauge.functions.text import LINE_BREAK, nfkc_lower, without_last_break
+from tidegauge.session import spread_small
 
 RULES_PER_PASS = 200
+_NORM = "__norm"
 
 # Line ends of message scans: every separator str.splitlines knows.
-_MESSAGE_BREAKS = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
+_MESSAGE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 
 
 @dataclass(frozen=True)
@@ -48,11 +55,19 @@ def to_lines(
     Files break at newlines and carriage returns; messages at every separator
     Unicode has for lines.
     """
-    if message:
-        lines = line_array(F.regexp_replace(F.col(text), _MESSAGE_BREAKS, "\n"))
-    else:
-        lines = line_array(text)
-    return df.select(doc, *keep, F.posexplode(lines).alias("__pos", "line")).select(
+    narrow = spread_small(df.select(doc, *keep, text), like=df)
+    return _split_lines(narrow, doc, keep, F.col(text), message)
+
+
+def _split_lines(
+    df: DataFrame, doc: str, keep: Sequence[str], text: Column, message: bool
+) -> DataFrame:
+    # The split gets its own projection: the generator below reads it three times.
+    parts = df.select(
+        doc, *keep, F.split(text, _MESSAGE_BREAK if message else LINE_BREAK).alias("__parts")
+    )
+    lines = without_last_break(F.col("__parts"))
+    return parts.select(doc, *keep, F.posexplode(lines).alias("__pos", "line")).select(
         doc, *keep, (F.col("__pos") + 1).alias("line_no"), "line"
     )
 
@@ -86,9 +101,18 @@ def scope_documents(
     return df
 
 
+def _matches(norm: Column, pattern: str) -> Column:
+    general = F.regexp_extract_all(norm, F.lit(java_pattern(pattern, unicode_words=True)), 0)
+    if not matches_lower_case(pattern):
+        return general
+    # Normalised text is lower case; of the letters that fold oddly only the
+    # dotless i can be left in it.
+    fast = F.regexp_extract_all(norm, F.lit(lower_case_pattern(pattern, unicode_words=True)), 0)
+    return F.when(folds_oddly(norm, "\u0131"), general).otherwise(fast)
+
+
 def _rule_hits(norm: Column, rule: ScanRule, name: str | None) -> Column:
-    # An empty match reports nothing, so patterns that allow one need no guard here.
-    matches = F.regexp_extract_all(norm, F.lit(java_pattern(rule.pattern, unicode_words=True)), 0)
+    matches = _matches(norm, rule.pattern)
     found = F.transform(
         matches, lambda m: F.struct(F.lit(rule.description).alias("rule"), m.alias("match_text"))
     )
@@ -120,9 +144,50 @@ def scan_rules(
     """
     if skip_prefix:
         lines = lines.filter(~F.regexp_replace("line", r"^[\s\p{Z}]+", "").startswith(skip_prefix))
-    columns = list(dict.fromkeys([doc, *keep, *([name] if name else [])]))
-    normal = lines.select(*columns, "line_no", nfkc_lower("line").alias("__norm"))
-    norm = F.col("__norm")
+    columns = _columns(doc, keep, name)
+    normal = lines.select(*columns, "line_no", nfkc_lower("line").alias(_NORM))
+    return _scan(normal, rules, doc, allow, name, keep, exceptions)
+
+
+def scan_documents(
+    df: DataFrame,
+    text: str,
+    rules: Sequence[ScanRule],
+    doc: str = "doc_id",
+    *,
+    allow: Sequence[str] = (),
+    name: str | None = None,
+    keep: Sequence[str] = (),
+    exceptions: DataFrame | None = None,
+    message: bool = False,
+) -> DataFrame:
+    """``to_lines`` and ``scan_rules`` in one, normalising each text once as a whole.
+
+    Normalisation neither makes nor removes line ends, so the result is the same
+    with one call per document instead of one per line.
+    """
+    columns = _columns(doc, keep, name)
+    narrow = spread_small(df.select(*columns, text), like=df)
+    whole = narrow.select(*columns, nfkc_lower(text).alias(_NORM))
+    lines = _split_lines(whole, doc, columns[1:], F.col(_NORM), message)
+    normal = lines.withColumnRenamed("line", _NORM)
+    return _scan(normal, rules, doc, allow, name, keep, exceptions)
+
+
+def _columns(doc: str, keep: Sequence[str], name: str | None) -> list[str]:
+    return list(dict.fromkeys([doc, *keep, *([name] if name else [])]))
+
+
+def _scan(
+    normal: DataFrame,
+    rules: Sequence[ScanRule],
+    doc: str,
+    allow: Sequence[str],
+    name: str | None,
+    keep: Sequence[str],
+    exceptions: DataFrame | None,
+) -> DataFrame:
+    columns, norm = _columns(doc, keep, name), F.col(_NORM)
     for pattern in allow:
         normal = normal.filter(~norm.rlike(java_pattern(pattern, unicode_words=True)))
     passes = []
@@ -134,7 +199,9 @@ def scan_rules(
     if not passes:
         raise ValueError("a scan needs at least one rule")
     hits = reduce(DataFrame.unionByName, passes).select(
-        *columns, "line_no", F.col("__hit.match_text").alias("match_text"),
+        *columns,
+        "line_no",
+        F.col("__hit.match_text").alias("match_text"),
         F.col("__hit.rule").alias("rule"),
     )
     if exceptions is not None:

@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.regex import (
     contains_any,
-    java_pattern,
-    re2_subject,
+    folds_oddly,
+    lower_case_pattern,
+    matches_lower_case,
+    re2_match,
     required_words,
-    word_filter_text,
 )
+from tidegauge.session import spread_small
 
 # Patterns evaluated in one pass over the text. More terms mean more passes, so
 # neither the plan nor the driver grows with the taxonomy.
 TERMS_PER_PASS = 400
 
-_SUBJECT, _WORDS = "__subject", "__words"
+_TEXT, _LOW, _ODD = "__text", "__low", "__odd"
 
 
 @dataclass(frozen=True)
@@ -56,17 +58,27 @@ def _slices(taxonomy: DataFrame | list[Term]) -> Iterator[list[Term]]:
 
 def prepare_text(df: DataFrame, text: str, keep: list[str | Column]) -> DataFrame:
     """Columns needed for matching, each computed once per row."""
-    col = F.col(text)
-    return df.select(
-        *keep, re2_subject(col).alias(_SUBJECT), word_filter_text(col).alias(_WORDS)
-    )
+    narrow = spread_small(df.select(*keep, F.col(text).alias(_TEXT)), like=df)
+    kept = [c for c in narrow.columns if c != _TEXT]
+    col = F.col(_TEXT)
+    return narrow.select(*kept, _TEXT, F.lower(col).alias(_LOW), folds_oddly(col).alias(_ODD))
 
 
 def term_matches(term: Term) -> Column:
-    """Does the prepared text match? A substring test guards the pattern."""
-    hit = F.col(_SUBJECT).rlike(java_pattern(term.pattern))
+    """Does the prepared text match the term's pattern, ignoring case?
+
+    Most patterns can be tested on the lower-cased text, behind a substring test
+    where the pattern has words a match must contain. Rows with letters that
+    lower-casing treats differently, and other patterns, take the general way.
+    """
+    general = re2_match(_TEXT, term.pattern)
+    if not matches_lower_case(term.pattern):
+        return general
+    fast = F.col(_LOW).rlike(lower_case_pattern(term.pattern))
     words = required_words(term.pattern)
-    return contains_any(F.col(_WORDS), words) & hit if words else hit
+    if words:
+        fast = contains_any(F.col(_LOW), words) & fast
+    return F.when(F.col(_ODD), general).otherwise(fast)
 
 
 def tag_taxonomy(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators.scan import (
     ScanRule,
     rule_summary,
+    scan_documents,
     scan_rules,
     scope_documents,
     to_lines,
@@ -65,6 +66,12 @@ HITS_SQL = _hits_sql(LINES_SQL, RULES)
 
 @query(HITS_SQL)
 def rule_hits(t):
+    return scan_documents(t.documents, "text", RULES)
+
+
+@query(HITS_SQL)
+def rule_hits_by_line(t):
+    """The same hits from lines split beforehand."""
     return scan_rules(_doc_lines(t), RULES)
 
 
@@ -75,13 +82,13 @@ def rule_hits(t):
     )
 )
 def rule_hits_allowlisted(t):
-    return scan_rules(_doc_lines(t), RULES, allow=ALLOW)
+    return scan_documents(t.documents, "text", RULES, allow=ALLOW)
 
 
 @query(_hits_sql(LINES_SQL, RULES, exceptions=True))
 def rule_hits_excepted(t):
     """Rules that do not apply to some documents, named in the rule."""
-    return scan_rules(_doc_lines(t), RULES, name="source")
+    return scan_documents(t.documents, "text", RULES, name="source")
 
 
 @query(
@@ -129,7 +136,7 @@ def rule_hits_scoped(t):
         extensions=[".md", ".py"],
         ignore_dirs=["src4", "src5/fr", "doc"],
     )
-    return scan_rules(to_lines(scoped, "doc_id", "text"), RULES)
+    return scan_documents(scoped, "text", RULES)
 
 
 @query(
@@ -142,7 +149,7 @@ def rule_hits_uncommented(t):
 
 @query(f"SELECT rule, count(*) AS hits FROM ({HITS_SQL}) GROUP BY rule")
 def rule_totals(t):
-    return rule_summary(scan_rules(_doc_lines(t), RULES))
+    return rule_summary(scan_documents(t.documents, "text", RULES))
 
 
 @query(

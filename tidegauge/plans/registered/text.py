@@ -9,9 +9,9 @@ from tidegauge.functions.dates import MONTH_NAMES, month_label, month_of, parse_
 from tidegauge.functions.jsonfields import json_project
 from tidegauge.functions.metrics import abs_diff, growth_pct, pct_diff, safe_share
 from tidegauge.functions.regex import re2_match
-from tidegauge.functions.text import clean_html, nfkc_lower, text_or_empty
+from tidegauge.functions.text import nfkc_lower, text_or_empty
 from tidegauge.operators.quality import residual_tags
-from tidegauge.operators.staging import live_records
+from tidegauge.operators.staging import clean_column, live_records
 from tidegauge.plans.registered.registry import query
 from tidegauge.sources.bronze import to_payload
 
@@ -137,13 +137,13 @@ def _clean_sql(column: str, tag: str = "") -> str:
 
 @query(f"SELECT page_id, {_clean_sql('html')} AS body FROM pages")
 def clean_html_pages(t):
-    return t.pages.select("page_id", clean_html("html").alias("body"))
+    return clean_column(t.pages.select("page_id", "html"), "html", "body")
 
 
 @query(f"SELECT page_id, {_clean_sql('html', ' ')} AS body FROM pages")
 def clean_html_spaced(t):
     """Cleaning with a space for every tag, so that words do not run together."""
-    return t.pages.select("page_id", clean_html("html", tag_replacement=" ").alias("body"))
+    return clean_column(t.pages.select("page_id", "html"), "html", "body", tag_replacement=" ")
 
 
 @query(
@@ -153,8 +153,10 @@ def clean_html_spaced(t):
     """
 )
 def clean_documents(t):
-    text = clean_html(F.nullif(F.col("text"), F.lit("")))
-    return t.documents.select("doc_id", text_or_empty(text).alias("full_text"))
+    texts = t.documents.select("doc_id", F.nullif(F.col("text"), F.lit("")).alias("html"))
+    return clean_column(texts, "html", "text").select(
+        "doc_id", text_or_empty("text").alias("full_text")
+    )
 
 
 @query(
@@ -164,7 +166,7 @@ def clean_documents(t):
     """
 )
 def dq_residual_tags(t):
-    cleaned = t.pages.select("page_id", clean_html("html").alias("body"))
+    cleaned = clean_column(t.pages.select("page_id", "html"), "html", "body")
     return residual_tags(cleaned, "body").select("page_id")
 
 

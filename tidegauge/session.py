@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job of this library expects. Sizes (shuffle partitions, memory)
 # belong to the cluster and are left alone.
@@ -64,3 +64,22 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is ever reused between runs."""
     return f"{shared_dir(spark)}/tidegauge/{name}-{uuid.uuid4().hex}"
+
+
+# Input per core below which work on it is spread over all cores first.
+SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Spread a small input over all cores before expensive work per row.
+
+    A small table is often one file with one row group, hence one task. The size
+    is the optimizer's estimate for ``like`` (default: ``df`` itself). Inputs
+    above the bound have splits enough and are never shuffled here.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = (like if like is not None else df)._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
