@@ -75,6 +75,16 @@ def parse_month_title(col: Column | str) -> Column:
     )
 
 
+def in_months(
+    col: Column | str, data_type: T.DataType, start: dt.date, end: dt.date
+) -> Column:
+    """Stamp within the months of ``start`` through ``end``, as a plain range of the
+    raw column, which file scans can use to skip data."""
+    after = dt.date(end.year + end.month // 12, end.month % 12 + 1, 1)
+    kind, col = data_type.simpleString(), _col(col)
+    return (col >= F.lit(start.replace(day=1)).cast(kind)) & (col < F.lit(after).cast(kind))
+
+
 def months_between_inclusive(start: dt.date, end: dt.date) -> list[dt.date]:
     """First days of all months from ``start`` through ``end``."""
     first = start.year * 12 + start.month - 1

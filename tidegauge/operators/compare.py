@@ -40,6 +40,8 @@ def reconcile(
 def missing_keys(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct expected keys that the other table does not have.
 
-    Keys are made distinct before the join, so repeated keys are not shuffled.
+    Keys are made distinct on both sides before the join: tasks send each key
+    once, however often it occurs.
     """
-    return expected.select(*keys).distinct().join(actual.select(*keys), keys, "left_anti")
+    known = actual.select(*keys).distinct()
+    return expected.select(*keys).distinct().join(known, keys, "left_anti")

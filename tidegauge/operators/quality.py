@@ -123,7 +123,7 @@ def orphans(fact: DataFrame, dim: DataFrame, key: str, dim_key: str | None = Non
     counts = (
         fact.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    known = dim.select(F.col(dim_key or key).alias(key))
+    known = dim.select(F.col(dim_key or key).alias(key)).distinct()
     return counts.join(known, key, "left_anti")
 
 

@@ -122,9 +122,10 @@ def pivot_series(points: DataFrame, keys: Sequence[str], key: str = "tech_key")
 
 
 def list_terms(taxonomy: DataFrame, trends: DataFrame) -> DataFrame:
-    """Terms that have trend rows, by name. A semi join: trend rows are not multiplied."""
+    """Terms that have trend rows, by name. A semi join on distinct keys: trend rows
+    neither multiply the terms nor meet in one task."""
     return (
-        taxonomy.join(trends.select("tech_key"), "tech_key", "left_semi")
+        taxonomy.join(trends.select("tech_key").distinct(), "tech_key", "left_semi")
         .select(F.col("tech_key").alias("key"), F.col("display_name").alias("name"), "category")
         .distinct()
         .orderBy("name", "key")

@@ -50,7 +50,8 @@ def missing_children(edges: DataFrame, items: DataFrame, child: str = "child",
                      item_id: str = "id") -> DataFrame:
     """Distinct referenced ids (as ``id``) without an item of their own."""
     referenced = edges.select(F.col(child).alias("id")).filter(F.col("id").isNotNull()).distinct()
-    return referenced.join(items.select(F.col(item_id).alias("id")), "id", "left_anti")
+    known = items.select(F.col(item_id).alias("id")).distinct()
+    return referenced.join(known, "id", "left_anti")
 
 
 def as_tombstones(ids: DataFrame) -> DataFrame:
@@ -105,10 +106,9 @@ def descendants(items: DataFrame, roots: DataFrame, max_depth: int | None = None
     )
     # Ids that can be reached twice from one root: those with several parents,
     # and roots that are somebody's child.
-    several_parents = (
-        edges.groupBy("child").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("child")
-    )
-    nested_roots = roots.select(F.col("root").alias("child")).join(edges, "child", "left_semi")
+    parents = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
+    several_parents = parents.filter("n > 1").select("child")
+    nested_roots = roots.select(F.col("root").alias("child")).join(parents, "child", "left_semi")
     repeats = several_parents.union(nested_roots).distinct()
     if repeats.isEmpty():
         return _closure_of_forest(spark, edges, roots, folder, max_depth)
@@ -223,7 +223,7 @@ def collect_threads(items: DataFrame, roots: DataFrame) -> DataFrame:
     found = items.join(reached, "id", "left_semi").select(
         *names, F.lit(False).alias("is_tombstone")
     )
-    missing = reached.join(items.select("id"), "id", "left_anti")
+    missing = reached.join(items.select("id").distinct(), "id", "left_anti")
     return found.unionByName(as_tombstones(missing))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidegauge.functions.dates import month_of
+from tidegauge.functions.dates import in_months, month_of
 from tidegauge.functions.metrics import growth_pct, safe_share
 from tidegauge.operators.taxonomy import Term, _slices, prepare_text, term_matches
 
@@ -138,7 +138,8 @@ def trends_from_text(
     month, and no bridge rows exist. More terms than one pass takes add passes.
     """
     spark = records.sparkSession
-    in_range = records.filter(month_of(timestamp).between(start.replace(day=1), end))
+    stamp_type = records.schema[timestamp].dataType
+    in_range = records.filter(in_months(timestamp, stamp_type, start, end))
     marts = []
     for terms in _slices(taxonomy):
         counters = [F.count_if(term_matches(t)).alias(f"__n{i}") for i, t in enumerate(terms)]
@@ -166,4 +167,6 @@ def trends_from_text(
             )
             .withColumn("pct_share", safe_share(F.col("mention_count"), F.col("total_jobs")))
         )
+    if not marts:
+        raise ValueError("trends need at least one term")
     return with_growth(reduce(DataFrame.unionByName, marts), "tech_key")

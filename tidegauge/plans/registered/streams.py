@@ -109,14 +109,38 @@ def pipeline_rebuild(t):
     return rebuild(t.spark, event_bronze(t), _taxonomy(t), out, PIPE_LAST, PIPE_FIRST).trends
 
 
+_COUNT = "SELECT '{}' AS check_name, count(*) AS violations FROM ({}) WHERE {}"
+_LAGS = f"""
+    SELECT *, lag(pct_share, 1) OVER w AS p1, lag(pct_share, 12) OVER w AS p12
+    FROM ({_PIPE_MART}) WINDOW w AS (PARTITION BY tech_key ORDER BY month)
+"""
+_TIMES = f"""
+    SELECT s.posted_at, date_trunc('second', e.ts) AS landed_at
+    FROM ({STAGED_SQL}) AS s JOIN events AS e ON e.event_id = s.parent_id
+"""
+
+
 @query(
-    """
-    SELECT unnest(['silver_not_null', 'silver_unique', 'silver_conserved', 'dim_unique',
-                   'bridge_not_null', 'bridge_categories', 'trends_not_null', 'trends_keys_known',
-                   'trends_complete', 'trends_bounds', 'trends_stable', 'growth_head',
-                   'growth_zero_base', 'recent_month']) AS check_name,
-           unnest([0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1]) AS violations
-    """
+    " UNION ALL ".join(
+        _COUNT.format(name, source, where)
+        for name, source, where in [
+            ("silver_not_null", STAGED_SQL, "author IS NULL OR posted_at IS NULL OR text IS NULL"),
+            ("silver_unique", f"SELECT id FROM ({STAGED_SQL}) GROUP BY id HAVING count(*) > 1", "true"),
+            ("silver_conserved", _TIMES, "posted_at IS DISTINCT FROM landed_at"),
+            ("dim_unique", f"SELECT tech_key FROM {_TERMS} GROUP BY 1 HAVING count(*) > 1", "true"),
+            ("bridge_not_null", f"SELECT * FROM {_TERMS}", "tech_key IS NULL OR category IS NULL"),
+            ("bridge_categories", f"SELECT * FROM {_TERMS}", "category NOT IN ('Language', 'Tool', 'Cloud')"),
+            ("trends_not_null", _PIPE_MART, "tech_name IS NULL OR mention_count IS NULL"),
+            ("trends_keys_known", _PIPE_MART, f"tech_key NOT IN (SELECT tech_key FROM {_TERMS})"),
+            ("trends_complete", f"SELECT tech_key FROM ({_PIPE_MART}) GROUP BY 1 HAVING count(*) <> 16", "true"),
+            ("trends_bounds", _PIPE_MART, "pct_share < 0 OR pct_share > 1"),
+            ("trends_stable", _PIPE_MART, "mention_count > total_jobs"),
+            ("growth_head", _PIPE_MART, "month = DATE '2023-11-01' AND mom_growth_pct IS NOT NULL"),
+            ("growth_zero_base", _LAGS, "(p1 = 0 AND mom_growth_pct IS NOT NULL) OR (p12 = 0 AND yoy_growth_pct IS NOT NULL)"),
+            ("recent_month", f"SELECT month, max(total_jobs) AS n FROM ({_PIPE_MART}) GROUP BY 1",
+             "month = DATE '2025-01-01' AND n = 0"),
+        ]
+    )
 )
 def pipeline_checks(t):
     """All checks over the rebuilt tables; only the last month is empty, as it should be."""

@@ -322,8 +322,8 @@ def guarded_ratios(t):
 
 
 @query(
-    "SELECT to_json(struct_pack(event_id := event_id, user_id := user_id, "
-    "event_type := event_type)) AS payload FROM events"
+    "SELECT CAST(to_json(struct_pack(event_id := event_id, user_id := user_id, "
+    "event_type := event_type)) AS VARCHAR) AS payload FROM events"
 )
 def item_payloads(t):
     """Rows to compact JSON payloads."""

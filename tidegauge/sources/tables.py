@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.functions.dates import month_of
+from tidegauge.functions.dates import in_months, month_of
 
 
 def table_exists(spark: SparkSession, name: str) -> bool:
@@ -60,13 +60,8 @@ def run_partitions(
     firsts = check_months(months, as_of)
     if not firsts:
         return transform(df.withColumn("month", month_of(timestamp)).filter(F.lit(False)))
-    last = max(firsts)
-    after = dt.date(last.year + last.month // 12, last.month % 12 + 1, 1)
-    kind = df.schema[timestamp].dataType.simpleString()
-    stamp = F.col(timestamp)
-    pruned = df.filter(
-        (stamp >= F.lit(min(firsts)).cast(kind)) & (stamp < F.lit(after).cast(kind))
-    )
+    stamp_type = df.schema[timestamp].dataType
+    pruned = df.filter(in_months(timestamp, stamp_type, min(firsts), max(firsts)))
     selected = pruned.withColumn("month", month_of(timestamp)).filter(F.col("month").isin(firsts))
     return transform(selected)
 
