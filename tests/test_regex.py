@@ -44,6 +44,11 @@ PATTERNS = [
     r"s[\W_]",
     r"[[:^alpha:]]s",
     r"[[:alnum:]_]ß",
+    r"\b[sk]+i",
+    r"\b[sk-]i",
+    r"\bs{0,1}#",
+    r"\bk{1,2}\b",
+    r"\bs|\bi\b",
 ]
 ALPHABET = list("sSkKiIéÉ#. \n\t_qlQLcC-jJgGoO1") + ["ſ", "K", "İ", "ı", "\x0b", " ", "Å", "ß"]
 TEXTS = [

@@ -137,6 +137,9 @@ def re2_match(col: Column | str, pattern: str) -> Column:
 FOLDING_CHARACTERS = "\u017f\u212a\u0130\u0131"
 
 _RANGE = re.compile(r"([^\\\[])-([^\]])")
+_WORD_AHEAD = re.compile(
+    r"\\b(?=(?:\[(?:[a-z0-9_]-[a-z0-9_]|[a-z0-9_])+\]|[a-z0-9_])(?![*?]|\{0|\{,))"
+)
 _WORD_GROUP = re.compile(r"\\b\(([^()\[\]]+)\)\\b")
 
 
@@ -187,6 +190,10 @@ def lower_case_pattern(pattern: str, *, unicode_words: bool = False) -> str:
             body = java_pattern(group[1], unicode_words=unicode_words, ignore_case=False)
             first = "".join(sorted({b[0] for b in branches}))
             return f"(?d)(?=[{first}])(?<!{word})(?:{body.removeprefix('(?d)')})(?!{word})"
+    if _WORD_AHEAD.match(pattern):
+        word = (_UNICODE if unicode_words else _ASCII)["word"]
+        rest = java_pattern(pattern[2:], unicode_words=unicode_words, ignore_case=False)
+        return f"(?d)(?<!{word}){rest.removeprefix('(?d)')}"
     return java_pattern(pattern, unicode_words=unicode_words, ignore_case=False)
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.functions.dates import parse_month_title
@@ -91,18 +91,15 @@ def descendants(items: DataFrame, roots: DataFrame, max_depth: int | None = None
     rooted = items.select(F.col("id").cast("bigint").alias("id"), "kids").join(
         roots.withColumnRenamed("root", "id").withColumn("is_root", F.lit(True)), "id", "left"
     )
-    (
-        rooted.select(
-            F.col("id").alias("parent"),
-            F.coalesce("is_root", F.lit(False)).alias("from_root"),
-            F.explode(F.col("kids").cast("array<bigint>")).alias("child"),
-        )
-        .filter(F.col("parent") != F.col("child"))
-        .distinct()
-        .write.parquet(f"{folder}/edges")
+    listed = rooted.select(
+        F.col("id").alias("parent"),
+        F.coalesce("is_root", F.lit(False)).alias("from_root"),
+        F.explode(F.col("kids").cast("array<bigint>")).alias("child"),
     )
-    edges = spark.read.schema("parent bigint, from_root boolean, child bigint").parquet(
-        f"{folder}/edges"
+    edges, n_edges = _written(
+        listed.filter(F.col("parent") != F.col("child")).distinct(),
+        f"{folder}/edges",
+        "parent bigint, from_root boolean, child bigint",
     )
     # Ids that can be reached twice from one root: those with several parents,
     # and roots that are somebody's child.
@@ -111,33 +108,43 @@ def descendants(items: DataFrame, roots: DataFrame, max_depth: int | None = None
     nested_roots = roots.select(F.col("root").alias("child")).join(parents, "child", "left_semi")
     repeats = several_parents.union(nested_roots).distinct()
     if repeats.isEmpty():
-        return _closure_of_forest(spark, edges, roots, folder, max_depth)
-    return _closure_of_graph(spark, edges, roots, repeats, folder, max_depth)
+        # On a cycle pointers never end; no path is longer than the number of edges.
+        limit = n_edges if max_depth is None else max_depth
+        return _closure_of_forest(edges, roots, folder, limit)
+    return _closure_of_graph(edges, roots, repeats, folder, max_depth)
+
+
+def _written(
+    rows: DataFrame, path: str, schema: str, counted: Column | None = None
+) -> tuple[DataFrame, int]:
+    """Write rows to the work folder and read them back, with the number of rows
+    (of those where ``counted`` holds) taken from the write itself."""
+    seen = Observation()
+    number = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+    rows.observe(seen, number.alias("n")).write.parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path), seen.get["n"]
 
 
 def _closure_of_forest(
-    spark: SparkSession, edges: DataFrame, roots: DataFrame, folder: str, max_depth: int | None
+    edges: DataFrame, roots: DataFrame, folder: str, limit: int
 ) -> DataFrame:
     """Pointer doubling: each round replaces an ancestor by that ancestor's own.
 
     ``ptr`` is an ancestor ``depth`` levels up; once it is a root, ``root`` is set
     and the row is final. A chain of a million replies takes twenty rounds.
     """
-    # On a cycle pointers never end; no path is longer than the number of edges.
-    limit = edges.count() if max_depth is None else max_depth
-    path = f"{folder}/pointers"
-    edges.select(
+    is_open = F.col("root").isNull()
+    pointers = edges.select(
         F.col("child").alias("id"),
         F.when(~F.col("from_root"), F.col("parent")).alias("ptr"),
         F.when(F.col("from_root"), F.col("parent")).alias("root"),
         F.lit(1).cast("bigint").alias("depth"),
-    ).filter(F.col("depth") <= limit).write.parquet(f"{path}/0")
-
-    turn = 0
-    tables = [spark.read.schema(_POINTERS).parquet(f"{path}/0")]
-    while not tables[-1].filter("root is null").isEmpty():
-        open_rows = tables[-1].filter("root is null")
-        known = _union([t.filter("root is not null") for t in tables] + [open_rows])
+    ).filter(F.col("depth") <= limit)
+    first, n_open = _written(pointers, f"{folder}/pointers/0", _POINTERS, is_open)
+    tables = [first]
+    while n_open:
+        open_rows = tables[-1].filter(is_open)
+        known = _union([t.filter(~is_open) for t in tables] + [open_rows])
         upper = known.select(
             F.col("id").alias("ptr"),
             F.col("ptr").alias("next_ptr"),
@@ -156,16 +163,15 @@ def _closure_of_forest(
             )
             .filter(F.col("depth") <= limit)
         )
-        turn += 1
-        doubled.write.parquet(f"{path}/{turn}")
-        tables.append(spark.read.schema(_POINTERS).parquet(f"{path}/{turn}"))
-    final = _union([t.filter("root is not null") for t in tables])
+        target = f"{folder}/pointers/{len(tables)}"
+        table, n_open = _written(doubled, target, _POINTERS, is_open)
+        tables.append(table)
+    final = _union([t.filter(~is_open) for t in tables])
     start = roots.select("root", F.col("root").alias("id"), F.lit(0).cast("bigint").alias("depth"))
     return start.unionByName(final.select("root", "id", "depth"))
 
 
 def _closure_of_graph(
-    spark: SparkSession,
     edges: DataFrame,
     roots: DataFrame,
     repeats: DataFrame,
@@ -174,17 +180,19 @@ def _closure_of_graph(
 ) -> DataFrame:
     """Breadth-first rounds. Only ids that can be reached twice meet the visited set."""
     marks = repeats.withColumn("marked", F.lit(True))
-    edges.join(marks, "child", "left").select(
-        F.col("parent").alias("id"), "child", F.coalesce("marked", F.lit(False)).alias("revisit")
-    ).write.parquet(f"{folder}/marked")
-    marked = spark.read.schema("id bigint, child bigint, revisit boolean").parquet(
-        f"{folder}/marked"
-    )
-    roots.select("root", F.col("root").alias("id"), F.lit(True).alias("revisit")).write.parquet(
-        f"{folder}/levels/0"
+    marked, _ = _written(
+        edges.join(marks, "child", "left").select(
+            F.col("parent").alias("id"),
+            "child",
+            F.coalesce("marked", F.lit(False)).alias("revisit"),
+        ),
+        f"{folder}/marked",
+        "id bigint, child bigint, revisit boolean",
     )
-    levels = [spark.read.schema(_LEVEL).parquet(f"{folder}/levels/0")]
-    while not levels[-1].isEmpty() and (max_depth is None or len(levels) <= max_depth):
+    start = roots.select("root", F.col("root").alias("id"), F.lit(True).alias("revisit"))
+    first, n_new = _written(start, f"{folder}/levels/0", _LEVEL)
+    levels = [first]
+    while n_new and (max_depth is None or len(levels) <= max_depth):
         reached = (
             levels[-1]
             .select("root", "id")
@@ -196,9 +204,8 @@ def _closure_of_graph(
             reached.filter("revisit").distinct().join(visited, ["root", "id"], "left_anti")
         )
         new = reached.filter(~F.col("revisit")).unionByName(again.select("root", "id", "revisit"))
-        target = f"{folder}/levels/{len(levels)}"
-        new.write.parquet(target)
-        levels.append(spark.read.schema(_LEVEL).parquet(target))
+        level, n_new = _written(new, f"{folder}/levels/{len(levels)}", _LEVEL)
+        levels.append(level)
     return _union(
         [
             level.select("root", "id", F.lit(depth).cast("bigint").alias("depth"))
