@@ -90,11 +90,11 @@ def test_lines_like_universal_newlines(spark):
 
 
 TITLES = [
-    ("Ask HN: Who is hiring? (November 2023)", (2023, 11)),
-    ("Ask HN: Who's hiring? (March 2024)", (2024, 3)),
+    ("Ask us: Who is hiring? (November 2023)", (2023, 11)),
+    ("Ask us: Who's hiring? (March 2024)", (2024, 3)),
     ("Who is hiring? (January 2020)", (2020, 1)),
-    ("ASK HN: WHO IS HIRING? (DECEMBER 2019)", (2019, 12)),
-    ("Ask HN: Who is hiring (April 2018)", (2018, 4)),
+    ("ASK US: WHO IS HIRING? (DECEMBER 2019)", (2019, 12)),
+    ("Ask us: Who is hiring (April 2018)", (2018, 4)),
     ("Who is hiring?(April 2011)", (2011, 4)),
     ("My new project", None),
     ("Freelancer? Seeking freelancer? (November 2023)", None),
