@@ -155,7 +155,10 @@ ITEMS = [
 
 def test_validate_items(spark):
     frame = _payloads(spark, *[i[0] for i in ITEMS]).coalesce(1)
-    assert [r.reason for r in classify_items(frame).select("reason").collect()] == [i[1] for i in ITEMS]
+    classified = classify_items(frame)
+    assert [r.reason for r in classified.select("reason").collect()] == [i[1] for i in ITEMS]
+    good_plan = classified.filter("reason is null")._jdf.queryExecution().executedPlan().toString()
+    assert good_plan.count("from_json") == 1
     good, bad = validate_items(frame)
     assert good.schema == schemas.ITEM or good.columns == schemas.ITEM.names
     assert [r.id for r in good.collect()] == [8863, 999888, 7, 1]

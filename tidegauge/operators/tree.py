@@ -265,5 +265,8 @@ def find_threads(
         .agg(F.min("pos").alias("pos"))
     )
     return first_match(
-        listed.join(titled, "thread_id"), ["user", "year", "month"], "thread_id", ["pos"]
+        listed.join(titled, "thread_id"),
+        ["user", "year", "month"],
+        "thread_id",
+        ["pos", "thread_id"],
     )

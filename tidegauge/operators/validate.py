@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tidegauge.functions.dates import to_utc
 from tidegauge.functions.jsonfields import is_json
+from tidegauge.session import spread_small
 from tidegauge.sources import schemas
 
 _CORRUPT = "_corrupt"
@@ -74,7 +75,8 @@ def _classify(
     raw = F.from_json(
         F.col(payload), _as_text(schema), {"columnNameOfCorruptRecord": _CORRUPT}
     )
-    staged = df.select("*", raw.alias("_raw")).select(
+    # Exploding a one-element array keeps filters on the reason above the parse.
+    staged = spread_small(df).select("*", F.explode(F.array(raw)).alias("_raw")).select(
         "*",
         F.struct(*[_typed(F.col("_raw"), f).alias(f.name) for f in schema]).alias("item"),
     )
