@@ -56,9 +56,15 @@ def enforce_contract(df: DataFrame, schema: T.StructType) -> DataFrame:
 def freshness(
     df: DataFrame, column: str, as_of: dt.datetime, days: int = STALE_AFTER_DAYS
 ) -> DataFrame:
-    """One row when the newest stamp is more than ``days`` old, or there is none."""
+    """One row when the newest stamp is more than ``days`` old, or there is none.
+
+    ``as_of`` is UTC unless it carries a zone of its own.
+    """
     kind = df.schema[column].dataType.simpleString()
-    oldest_fresh = F.lit(as_of - dt.timedelta(days=days)).cast(kind)
+    if as_of.tzinfo is not None:
+        as_of = as_of.astimezone(dt.timezone.utc).replace(tzinfo=None)
+    # As text: a datetime literal would be read in the driver machine's zone.
+    oldest_fresh = F.lit(str(as_of - dt.timedelta(days=days))).cast(kind)
     newest = df.agg(F.max(column).alias("newest"))
     return newest.filter(F.col("newest").isNull() | (F.col("newest") < oldest_fresh))
 

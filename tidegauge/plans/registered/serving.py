@@ -232,8 +232,8 @@ def keyed_range_filter(t):
     """Key list and inclusive range, pushed to the scan."""
     wanted = trend_filter(
         ["2-HIGH", "5-LOW"],
-        F.lit(dt.datetime(1996, 2, 10)).cast("timestamp_ntz"),
-        F.lit(dt.datetime(1996, 5, 1)).cast("timestamp_ntz"),
+        F.lit(dt.date(1996, 2, 10)).cast("timestamp_ntz"),
+        F.lit(dt.date(1996, 5, 1)).cast("timestamp_ntz"),
         "o_orderpriority",
         "o_orderdate",
     )
