@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tidegauge.llm.bpecodec import decode, encode
 from tidegauge.llm.bpecount import count_tokens
 from tidegauge.llm.common import table
+from tidegauge.llm.simhash import near_duplicates
+from tidegauge.llm.suffixes import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -28,6 +30,40 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+@query(
+    r"""
+    WITH words AS (
+      SELECT doc_id, list_filter(string_split_regex(text, '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w
+      FROM documents
+    ), windows AS (
+      SELECT doc_id, unnest(range(len(w) - 49)) AS position, unnest(list_transform(
+        range(len(w) - 49), lambda i: list_slice(w, i + 1, i + 50))) AS win
+      FROM words WHERE len(w) >= 50
+    ), marked AS (
+      SELECT doc_id, position, count(*) OVER (PARTITION BY win) AS n,
+        row_number() OVER (PARTITION BY win ORDER BY doc_id, position) = 1 AS is_first
+      FROM windows
+    ), runs AS (
+      SELECT *, CASE WHEN position - lag(position) OVER (PARTITION BY doc_id ORDER BY position) <= 50
+        THEN 0 ELSE 1 END AS breaks
+      FROM marked WHERE n > 1
+    ), numbered AS (
+      SELECT *, sum(breaks) OVER (PARTITION BY doc_id ORDER BY position) AS run FROM runs
+    )
+    SELECT doc_id, CAST(min(position) AS INT) AS first_word, CAST(max(position) + 49 AS INT) AS last_word,
+      CAST(max(position) + 50 - min(position) AS INT) AS n_words, bool_and(is_first) AS has_first
+    FROM numbered GROUP BY doc_id, run
+    """
+)
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_passages(table(spark, folder, "documents"))
+
+
+@query()
+def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 @query()
 def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
