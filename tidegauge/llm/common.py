@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import prepare, work_path
@@ -33,3 +33,15 @@ def crc32_of(value: Column) -> Column:
 def lettered(value: Column) -> Column:
     """True where a text has a letter of any script; null counts as no text."""
     return F.coalesce(value.rlike(r"\p{L}"), F.lit(False))
+
+
+def least_keys(rows: DataFrame, group: str, key: str, most: int) -> dict:
+    """For each value of ``group`` the largest of its ``most`` least distinct keys.
+
+    The groups must be few. Ranks are cut within each task before the shuffle.
+    """
+    ranked = rows.select(group, key).distinct().withColumn(
+        "rank_", F.row_number().over(Window.partitionBy(group).orderBy(key))
+    )
+    found = ranked.filter(F.col("rank_") <= most).groupBy(group).agg(F.max(key).alias("most_"))
+    return {row[0]: row["most_"] for row in found.collect()}

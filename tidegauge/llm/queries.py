@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.bpecodec import decode, encode
 from tidegauge.llm.bpecount import count_tokens
 from tidegauge.llm.common import table
+from tidegauge.llm.langid import identify
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.suffixes import repeated_passages
 
@@ -59,6 +60,11 @@ def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"))
 
 
+@query()
+def op7_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(table(spark, folder, "documents"))
+
+
 @query()
 def op8_simhash_trie(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
