@@ -14,6 +14,7 @@ from tidegauge.llm.common import table
 from tidegauge.llm.langid import identify
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.suffixes import repeated_passages
+from tidegauge.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,6 +32,11 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+@query()
+def op2_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query(
     r"""
     WITH words AS (
