@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 from tidegauge.llm.bpecodec import decode, encode
 from tidegauge.llm.bpecount import count_tokens
 from tidegauge.llm.common import table
+from tidegauge.llm.covertree import top_inner_products
+from tidegauge.llm.decontaminate import leaks
 from tidegauge.llm.langid import identify
+from tidegauge.llm.linkgraph import judge_urls
+from tidegauge.llm.shards import shuffle_into_shards
 from tidegauge.llm.simhash import near_duplicates
 from tidegauge.llm.suffixes import repeated_passages
 from tidegauge.llm.toxicity import score_toxicity
@@ -32,6 +36,38 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+# The rules of the query over pages.
+URL_RULES = {
+    "org/": "allow",
+    "example.org/es/": "block",
+    "example.org/en/1": "block",
+    "com/fr/": "allow",
+    "com/de/": "block",
+}
+
+
+@query(
+    """
+    WITH whole AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+        vec_id, score
+      FROM scored
+    )
+    SELECT * FROM ranked WHERE rank <= 10
+    """
+)
+def op1_dual_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return top_inner_products(table(spark, folder, "embeddings"))
+
+
 @query()
 def op2_counterfactual_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return score_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -66,6 +102,23 @@ def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_passages(table(spark, folder, "documents"))
 
 
+@query()
+def op4_template_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op5_hypergeometric_shards(spark: SparkSession, folder: str) -> DataFrame:
+    dealt = shuffle_into_shards(table(spark, folder, "documents"))
+    none = F.lit(None).cast("int")
+    return dealt.select("*", F.lit("rows").alias("law"), none.alias("grown_shard"))
+
+
+@query()
+def op6_link_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(table(spark, folder, "pages"), URL_RULES)
+
+
 @query()
 def op7_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify(table(spark, folder, "documents"))
