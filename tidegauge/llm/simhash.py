@@ -232,14 +232,19 @@ def links(bits: DataFrame, budget: int = 2, column: str = "bits") -> DataFrame:
     return placed.join(sides, "node").select("pair", "side", "bits").groupBy("pair").applyInArrow(walk, "u long, v long")
 
 
-def components(fingerprints: DataFrame, budget: int = 2, id_column: str = "doc_id") -> DataFrame:
-    """``component_id`` of every distinct ``bits``: the least id reachable over links."""
+def rooted(fingerprints: DataFrame, budget: int = 2, id_column: str = "doc_id") -> DataFrame:
+    """Every distinct ``bits`` with its least id and ``root``, the least bits of its component."""
     star = stars(links(fingerprints, budget), "simhash")
     least = fingerprints.groupBy("bits").agg(F.min(id_column).alias("least_id"))
-    rooted = least.join(star.select(F.col("u").alias("bits"), F.col("v").alias("root")), "bits", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "bits"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.join(named, "root").select("bits", "component_id")
+    found = least.join(star.select(F.col("u").alias("bits"), F.col("v").alias("root")), "bits", "left")
+    return found.withColumn("root", F.coalesce("root", "bits"))
+
+
+def components(fingerprints: DataFrame, budget: int = 2, id_column: str = "doc_id") -> DataFrame:
+    """``component_id`` of every distinct ``bits``: the least id reachable over links."""
+    found = rooted(fingerprints, budget, id_column)
+    named = found.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return found.join(named, "root").select("bits", "component_id")
 
 
 def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = 2, size: int = 3) -> DataFrame:
@@ -247,3 +252,22 @@ def near_duplicates(documents: DataFrame, text: str = "text", id_column: str = "
     marked = stored(with_fingerprint(documents, text, (id_column,), size), "simhash-documents")
     named = stored(components(marked, budget, id_column), "simhash-components")
     return marked.join(named, "bits").select(id_column, as_hex(F.col("bits")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(documents: DataFrame, text: str = "text", id_column: str = "doc_id", budget: int = 2, size: int = 3) -> DataFrame:
+    """One document of each component, with all columns: the one with the least id.
+
+    Ids that are null come last; of several texts under the least id the one with the least
+    hash stays; rows equal in id and text are one document.
+    """
+    value = F.col(text).cast("string")
+    row = [F.xxhash64(id_column, value).alias("row__"), F.crc32(F.coalesce(value, F.lit("")).cast("binary")).alias("crc__")]
+    keyed = documents.select(F.col(id_column).alias("id__"), value.alias("text__"), *row)
+    marked = stored(with_fingerprint(keyed, "text__", ("id__", "row__", "crc__"), size), "simhash-documents")
+    named = rooted(marked, budget, "id__").select("bits", "root")
+    first = F.min(F.struct(F.col("id__").isNull(), "id__", "row__", "crc__")).alias("first")
+    # The least of each fingerprint, then of each component: one row for each task and key.
+    least = marked.groupBy("bits").agg(first).join(named, "bits").groupBy("root").agg(F.min("first").alias("first"))
+    kept = stored(least.select("first.row__", "first.crc__"), "simhash-kept").distinct()
+    found = documents.select("*", *row).join(kept, ["row__", "crc__"], "left_semi")
+    return found.dropDuplicates(["row__", "crc__"]).select(*documents.columns)
