@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tidegauge.operators.quality import enforce_contract
 from tidegauge.operators.staging import latest_by, stage_records
 from tidegauge.operators.validate import classify_items, validate_items, validate_users
-from tidegauge.session import shared_dir, spread_small, work_path
+from tidegauge.session import Scratch, shared_dir, spread, work_path
 from tidegauge.sources import schemas
 from tidegauge.sources.bronze import append_bronze, load_stats, read_bronze, to_payload
 from tidegauge.sources.landing import (
@@ -248,9 +248,15 @@ def test_shared_dir_follows_the_session(spark):
         shared_dir(_Session(None, None, "yarn"))
 
 
-def test_spread_small(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
-    one = spark.read.parquet(str(tmp_path / "one"))
-    assert spread_small(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    huge = spark.range(10**12)
-    assert spread_small(huge) is huge
+def test_spread_only_on_request(spark):
+    rows = spark.range(100).coalesce(1)
+    assert spread(rows, None) is rows
+    assert spread(rows, 3).rdd.getNumPartitions() == 3
+
+
+def test_scratch_is_emptied(spark):
+    with Scratch(spark, "test") as work:
+        table, n = work.write(spark.range(5), "t", None, 0)
+        table, n = work.write(spark.range(7), "t", F.col("id") > 2, 1)
+        assert (table.count(), n) == (12, 4)
+    assert spark.read.parquet(f"{work.path}/t").count() == 0

@@ -93,13 +93,44 @@ def test_random_graph(spark, seed):
     assert _closure(spark, kids, roots) == _search(kids, roots)
 
 
+def _rounds(spark, monkeypatch, kids, roots=(0,)):
+    """Closure, tables written, and the length of the result's plan."""
+    written, write = [], tree.Scratch.write
+    monkeypatch.setattr(tree.Scratch, "write", lambda self, *a: written.append(a[1]) or write(self, *a))
+    found = _closure(spark, kids, list(roots))
+    monkeypatch.setattr(tree.Scratch, "write", write)
+    return found, written.count("pointers"), written.count("reached")
+
+
 def test_long_chain_takes_few_rounds(spark, monkeypatch):
-    kids = {n: [n + 1] for n in range(2000)}
-    before = tree._union
-    rounds = []
-    monkeypatch.setattr(tree, "_union", lambda frames: rounds.append(len(frames)) or before(frames))
-    assert len(_closure(spark, kids, [0])) == 2001
-    assert len(rounds) < 15
+    found, doublings, _ = _rounds(spark, monkeypatch, {n: [n + 1] for n in range(2000)})
+    assert len(found) == 2001 and doublings < 15
+
+
+def test_repeat_elsewhere_adds_no_round(spark, monkeypatch):
+    chain = {n: [n + 1] for n in range(200)}
+    plain = _rounds(spark, monkeypatch, chain)
+    aside = {1000: [1002], 1001: [1002], 1002: [1003]}
+    assert _rounds(spark, monkeypatch, chain | aside) == plain
+    with_repeat = _rounds(spark, monkeypatch, chain | {500: [50], 1: [2, 500]})
+    assert with_repeat[0] == _search(chain | {500: [50], 1: [2, 500]}, [0])
+    assert with_repeat[1] <= plain[1] and with_repeat[2] <= 4
+
+
+def test_plan_does_not_grow_with_depth(spark):
+    lengths = []
+    for depth in (20, 200):
+        items = spark.createDataFrame([(n, [n + 1]) for n in range(depth)], ITEM)
+        frame = descendants(items, spark.createDataFrame([(0,)], "root bigint"))
+        lengths.append(len(frame._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+    assert lengths[0] == lengths[1]
+
+
+def test_each_id_once(spark):
+    items = spark.createDataFrame([_item(10, kids=[11]), _item(11), _item(11), _item(11, kids=[12])], FULL)
+    roots = spark.createDataFrame([(10,)], "id bigint")
+    records = collect_threads(items, roots).collect()
+    assert sorted((r.id, r.is_tombstone) for r in records) == [(10, False), (11, False), (12, True)]
 
 
 def test_tombstones(spark):

@@ -10,13 +10,13 @@ left joins whose skewed partitions AQE splits.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.functions.dates import parse_month_title
-from tidegauge.session import work_path
+from tidegauge.operators.staging import latest_by
+from tidegauge.session import Scratch, work_path
 
 # Content of a tombstone record, in field order.
 TOMBSTONE = [
@@ -36,9 +36,6 @@ TOMBSTONE = [
     ("is_tombstone", "boolean", True),
 ]
 
-_POINTERS = "id bigint, ptr bigint, root bigint, depth bigint"
-_LEVEL = "root bigint, id bigint, revisit boolean"
-
 
 def tree_edges(items: DataFrame) -> DataFrame:
     """Distinct (parent, child) pairs of the kid lists; an item is not its own kid."""
@@ -73,145 +70,113 @@ def tombstones(edges: DataFrame, items: DataFrame, child: str = "child",
     return as_tombstones(missing_children(edges, items, child, item_id))
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def descendants(items: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """All ids reachable from each root: ``root, id, depth`` (the root has depth 0).
 
     Each id appears once per root, at its smallest depth; cycles are safe; ids
-    without an item of their own are included. When every id has one parent, as
-    in reply trees, the work takes log2(depth) rounds; otherwise one per level.
+    without an item of their own are included. The result is a table in the work
+    folder; what the rounds wrote is emptied before this returns.
+
+    Roots and ids with several parents are tops. Cut above each top, the edges are
+    trees, and pointer doubling finds every id's top and its depth below it in
+    log2(depth) rounds, whatever else repeats. Distances from the roots are then
+    followed from top to top, one round per repeated id on the way, over tops only;
+    a repeat that no root reaches adds no round. Pointers that lead to an id with
+    neither a parent nor a mark are dropped as soon as they get there.
     """
     spark = items.sparkSession
-    folder = work_path(spark, "closure")
-    roots = roots.select(F.col(roots.columns[0]).cast("bigint").alias("root")).distinct()
-
-    rooted = items.select(F.col("id").cast("bigint").alias("id"), "kids").join(
-        roots.withColumnRenamed("root", "id").withColumn("is_root", F.lit(True)), "id", "left"
+    result = work_path(spark, "closure")
+    with Scratch(spark, "closure-rounds") as work:
+        closure = _closure(items, roots, work, max_depth)
+        if max_depth is not None:
+            closure = closure.filter(F.col("depth") <= max_depth)
+        closure.write.parquet(result)
+    return spark.read.schema("root bigint, id bigint, depth bigint").parquet(result)
+
+
+def _closure(items: DataFrame, roots: DataFrame, work: Scratch, max_depth: int | None) -> DataFrame:
+    starts, _ = work.write(
+        roots.select(F.col(roots.columns[0]).cast("bigint").alias("root")).filter("root is not null").distinct(), "roots"
     )
-    listed = rooted.select(
-        F.col("id").alias("parent"),
-        F.coalesce("is_root", F.lit(False)).alias("from_root"),
-        F.explode(F.col("kids").cast("array<bigint>")).alias("child"),
+    pairs = items.select(
+        F.col("id").cast("bigint").alias("parent"), F.explode(F.col("kids").cast("array<bigint>")).alias("child")
     )
-    edges, n_edges = _written(
-        listed.filter(F.col("parent") != F.col("child")).distinct(),
-        f"{folder}/edges",
-        "parent bigint, from_root boolean, child bigint",
+    edges, n_edges = work.write(pairs.filter("parent <> child").distinct(), "edges")
+    several = edges.groupBy("child").count().filter("count > 1").select(F.col("child").alias("top"))
+    tops, _ = work.write(several.union(starts.select("root")).distinct(), "tops")
+    marked = tops.withColumn("is_top", F.lit(True))
+    ends = edges.join(marked.select(F.col("top").alias("child"), F.col("is_top").alias("to_top")), "child", "left").join(
+        marked.select(F.col("top").alias("parent"), F.col("is_top").alias("from_top")), "parent", "left"
     )
-    # Ids that can be reached twice from one root: those with several parents,
-    # and roots that are somebody's child.
-    parents = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
-    several_parents = parents.filter("n > 1").select("child")
-    nested_roots = roots.select(F.col("root").alias("child")).join(parents, "child", "left_semi")
-    repeats = several_parents.union(nested_roots).distinct()
-    if repeats.isEmpty():
-        # On a cycle pointers never end; no path is longer than the number of edges.
-        limit = n_edges if max_depth is None else max_depth
-        return _closure_of_forest(edges, roots, folder, limit)
-    return _closure_of_graph(edges, roots, repeats, folder, max_depth)
-
-
-def _written(
-    rows: DataFrame, path: str, schema: str, counted: Column | None = None
-) -> tuple[DataFrame, int]:
-    """Write rows to the work folder and read them back, with the number of rows
-    (of those where ``counted`` holds) taken from the write itself."""
-    seen = Observation()
-    number = F.count(F.lit(1)) if counted is None else F.count_if(counted)
-    rows.observe(seen, number.alias("n")).write.parquet(path)
-    return rows.sparkSession.read.schema(schema).parquet(path), seen.get["n"]
-
-
-def _closure_of_forest(
-    edges: DataFrame, roots: DataFrame, folder: str, limit: int
-) -> DataFrame:
-    """Pointer doubling: each round replaces an ancestor by that ancestor's own.
+    ends, _ = work.write(ends, "ends")
+    # On a cycle without a top pointers never end; no path is longer than the edges are many.
+    limit = n_edges if max_depth is None else max_depth
+    below = _depths_below_tops(ends.filter("to_top is null"), work, limit)
+    hops, _ = work.write(_hops(ends.filter("to_top"), below), "hops")
+    reached = _reached_tops(starts, hops, work, max_depth)
+    inside = reached.withColumnRenamed("id", "top").join(below.withColumnRenamed("depth", "more"), "top")
+    return reached.union(inside.select("root", "id", (F.col("depth") + F.col("more")).alias("depth")))
+
+
+def _depths_below_tops(ends: DataFrame, work: Scratch, limit: int) -> DataFrame:
+    """``top, id, depth`` by pointer doubling: each round replaces an ancestor by its own.
 
-    ``ptr`` is an ancestor ``depth`` levels up; once it is a root, ``root`` is set
-    and the row is final. A chain of a million replies takes twenty rounds.
+    ``ptr`` is an ancestor ``depth`` levels up; once it is a top, ``top`` is set and the
+    row is final. A chain of a million replies takes twenty rounds.
     """
-    is_open = F.col("root").isNull()
-    pointers = edges.select(
+    is_open = F.col("top").isNull()
+    rows = ends.select(
         F.col("child").alias("id"),
-        F.when(~F.col("from_root"), F.col("parent")).alias("ptr"),
-        F.when(F.col("from_root"), F.col("parent")).alias("root"),
+        F.when(F.col("from_top").isNull(), F.col("parent")).alias("ptr"),
+        F.when(F.col("from_top"), F.col("parent")).alias("top"),
         F.lit(1).cast("bigint").alias("depth"),
     ).filter(F.col("depth") <= limit)
-    first, n_open = _written(pointers, f"{folder}/pointers/0", _POINTERS, is_open)
-    tables = [first]
+    number = 0
+    table, n_open = work.write(rows, "pointers", is_open, number)
     while n_open:
-        open_rows = tables[-1].filter(is_open)
-        known = _union([t.filter(~is_open) for t in tables] + [open_rows])
-        upper = known.select(
-            F.col("id").alias("ptr"),
-            F.col("ptr").alias("next_ptr"),
-            F.col("root").alias("next_root"),
-            F.col("depth").alias("next_depth"),
+        latest = is_open & (F.col("round") == number)
+        upper = table.filter(~is_open | latest).select(
+            F.col("id").alias("ptr"), F.col("ptr").alias("next_ptr"), F.col("top").alias("next_top"), F.col("depth").alias("more")
         )
-        # Inner join: a pointer to an id without parent that is no root leads nowhere.
-        doubled = (
-            open_rows.select("id", "ptr", "depth")
-            .join(upper, "ptr")
-            .select(
-                "id",
-                F.col("next_ptr").alias("ptr"),
-                F.col("next_root").alias("root"),
-                (F.col("depth") + F.col("next_depth")).alias("depth"),
-            )
-            .filter(F.col("depth") <= limit)
+        # Inner join: a pointer to an id without parent that is no top leads nowhere.
+        doubled = table.filter(latest).select("id", "ptr", "depth").join(upper, "ptr").select(
+            "id", F.col("next_ptr").alias("ptr"), F.col("next_top").alias("top"), (F.col("depth") + F.col("more")).alias("depth")
         )
-        target = f"{folder}/pointers/{len(tables)}"
-        table, n_open = _written(doubled, target, _POINTERS, is_open)
-        tables.append(table)
-    final = _union([t.filter(~is_open) for t in tables])
-    start = roots.select("root", F.col("root").alias("id"), F.lit(0).cast("bigint").alias("depth"))
-    return start.unionByName(final.select("root", "id", "depth"))
-
-
-def _closure_of_graph(
-    edges: DataFrame,
-    roots: DataFrame,
-    repeats: DataFrame,
-    folder: str,
-    max_depth: int | None,
-) -> DataFrame:
-    """Breadth-first rounds. Only ids that can be reached twice meet the visited set."""
-    marks = repeats.withColumn("marked", F.lit(True))
-    marked, _ = _written(
-        edges.join(marks, "child", "left").select(
-            F.col("parent").alias("id"),
-            "child",
-            F.coalesce("marked", F.lit(False)).alias("revisit"),
-        ),
-        f"{folder}/marked",
-        "id bigint, child bigint, revisit boolean",
+        number += 1
+        table, n_open = work.write(doubled.filter(F.col("depth") <= limit), "pointers", is_open, number)
+    return table.filter(~is_open).select("top", "id", "depth")
+
+
+def _hops(into_tops: DataFrame, below: DataFrame) -> DataFrame:
+    """Shortest ways from a top to the tops that come next: ``top, next, steps``."""
+    direct = into_tops.filter("from_top").select(F.col("parent").alias("top"), F.col("child").alias("next"), F.lit(1).cast("bigint").alias("steps"))
+    through = (
+        into_tops.filter("from_top is null")
+        .join(below.withColumnRenamed("id", "parent"), "parent")
+        .select("top", F.col("child").alias("next"), (F.col("depth") + 1).alias("steps"))
     )
-    start = roots.select("root", F.col("root").alias("id"), F.lit(True).alias("revisit"))
-    first, n_new = _written(start, f"{folder}/levels/0", _LEVEL)
-    levels = [first]
-    while n_new and (max_depth is None or len(levels) <= max_depth):
-        reached = (
-            levels[-1]
-            .select("root", "id")
-            .join(marked, "id")
-            .select("root", F.col("child").alias("id"), "revisit")
-        )
-        visited = _union([level.filter("revisit").select("root", "id") for level in levels])
-        again = (
-            reached.filter("revisit").distinct().join(visited, ["root", "id"], "left_anti")
+    return direct.union(through).groupBy("top", "next").agg(F.min("steps").alias("steps"))
+
+
+def _reached_tops(starts: DataFrame, hops: DataFrame, work: Scratch, max_depth: int | None) -> DataFrame:
+    """Tops that each root reaches, ``root, id, depth``: rounds go on while a way is shorter."""
+    number = 0
+    rows = starts.select("root", F.col("root").alias("id"), F.lit(0).cast("bigint").alias("depth"))
+    table, n_new = work.write(rows, "reached", None, number)
+    while n_new:
+        found = (
+            table.filter(F.col("round") == number)
+            .join(hops.withColumnRenamed("top", "id"), "id")
+            .groupBy("root", F.col("next").alias("id"))
+            .agg(F.min(F.col("depth") + F.col("steps")).alias("depth"))
         )
-        new = reached.filter(~F.col("revisit")).unionByName(again.select("root", "id", "revisit"))
-        level, n_new = _written(new, f"{folder}/levels/{len(levels)}", _LEVEL)
-        levels.append(level)
-    return _union(
-        [
-            level.select("root", "id", F.lit(depth).cast("bigint").alias("depth"))
-            for depth, level in enumerate(levels)
-        ]
-    )
+        if max_depth is not None:
+            found = found.filter(F.col("depth") <= max_depth)
+        best = table.groupBy("root", "id").agg(F.min("depth").alias("best"))
+        shorter = found.join(best, ["root", "id"], "left").filter("best is null or depth < best")
+        number += 1
+        table, n_new = work.write(shorter.select("root", "id", "depth"), "reached", None, number)
+    return table.groupBy("root", "id").agg(F.min("depth").alias("depth"))
 
 
 def mark_missing(closure: DataFrame, items: DataFrame) -> DataFrame:
@@ -222,14 +187,20 @@ def mark_missing(closure: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def collect_threads(items: DataFrame, roots: DataFrame) -> DataFrame:
+def collect_threads(
+    items: DataFrame, roots: DataFrame, newest_first: list[str | Column] | None = None
+) -> DataFrame:
     """Records of whole threads, ready to land: items reached from the roots plus
-    tombstones for missing ones, each record once, with ``is_tombstone``."""
+    tombstones for missing ones, each id once, with ``is_tombstone``.
+
+    Of several versions of an item the first by ``newest_first`` lands, else the
+    greatest by all of its fields. The tree follows the kids of all versions.
+    """
     reached = descendants(items, roots).select("id").distinct()
     names = [name for name, _, _ in TOMBSTONE if name != "is_tombstone"]
-    found = items.join(reached, "id", "left_semi").select(
-        *names, F.lit(False).alias("is_tombstone")
-    )
+    found = items.join(reached, "id", "left_semi")
+    order = [*(newest_first or []), *(name for name in names if name != "id")]
+    found = latest_by(found, ["id"], order).select(*names, F.lit(False).alias("is_tombstone"))
     missing = reached.join(items.select("id").distinct(), "id", "left_anti")
     return found.unionByName(as_tombstones(missing))
 

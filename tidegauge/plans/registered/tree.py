@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidegauge.functions.dates import month_of
+from tidegauge.functions.jsonfields import json_project
 from tidegauge.operators.tree import (
     collect_threads,
     descendants,
@@ -13,8 +16,11 @@ from tidegauge.operators.tree import (
     mark_missing,
     tree_edges,
 )
+from tidegauge.plans.pipeline import ingest_months
 from tidegauge.plans.registered.registry import query
 from tidegauge.plans.registered.text import _TITLE_SQL, MONTH_NUMBER_SQL, YEAR_SQL, titles
+from tidegauge.session import work_path
+from tidegauge.sources.bronze import read_bronze
 
 # Room for the turns of one conversation in an item id.
 TURNS = 1_000_000_000
@@ -53,6 +59,27 @@ def thread_closure_two_levels(t):
     return descendants(items, roots, max_depth=2)
 
 
+@query(
+    f"""
+    SELECT root, id, min(depth) AS depth FROM (
+        SELECT root, id, depth FROM ({_CLOSURE_SQL})
+        UNION ALL
+        SELECT w.root - {TURNS}, w.id, w.depth + 1 FROM ({_CLOSURE_SQL}) AS w
+        WHERE w.root // {TURNS} % 2 = 1
+          AND EXISTS (SELECT 1 FROM conversations AS c WHERE c.conv_id = w.root // {TURNS} - 1 AND c.turn = 0)
+    ) GROUP BY root, id
+    """
+)
+def thread_closure_with_repeat(t):
+    """Every even conversation's first turn also lists the next conversation's first turn,
+    which is a root itself: threads reached twice, from two roots."""
+    first = t.conversations.filter("turn = 0").select((F.col("conv_id") * TURNS).alias("id"))
+    items = turn_items(t)
+    extra = first.filter(F.col("id") / TURNS % 2 == 0).select("id", F.array(F.col("id") + TURNS).alias("kids"))
+    known = extra.join(first.select((F.col("id") - TURNS).alias("id")), "id", "left_semi")
+    return descendants(items.unionByName(known), first.withColumnRenamed("id", "root"))
+
+
 def _shop_edges(t):
     """Regions own nations, nations customers, customers orders; nations own closed
     orders as well, so an order may have two parents. Ids are spread by kind."""
@@ -112,8 +139,7 @@ def thread_edges(t):
     return tree_edges(items.unionByName(items))
 
 
-@query(
-    f"""
+_RECORDS_SQL = f"""
     SELECT c.id, c.type, c."by", c.n_kids, c.deleted, c.is_tombstone
     FROM (
         SELECT w.id, CASE WHEN i.role IS NOT NULL THEN 'comment' END AS type, i.role AS "by",
@@ -123,13 +149,20 @@ def thread_edges(t):
         LEFT JOIN (SELECT conv_id * {TURNS} + turn AS id, role FROM conversations) AS i
                ON i.id = w.id
     ) AS c
-    """
-)
+"""
+
+
+@query(_RECORDS_SQL)
 def thread_records(t):
     """Whole threads as records ready to land, with tombstones for missing turns."""
+    return _landed(turn_records(t))
+
+
+def turn_records(t):
+    """Turns as full item records."""
     item = F.col("conv_id") * TURNS + F.col("turn")
     none = F.lit(None)
-    items = t.conversations.select(
+    return t.conversations.select(
         item.alias("id"),
         F.lit("comment").alias("type"),
         F.col("role").alias("by"),
@@ -144,12 +177,59 @@ def thread_records(t):
         F.lit(False).alias("deleted"),
         F.lit(False).alias("dead"),
     )
+
+
+def _landed(items):
     roots = items.filter(F.col("id") % TURNS == 0).select(F.col("id").alias("root"))
     return collect_threads(items, roots).select(
         "id", "type", "by", F.size("kids").alias("n_kids"), "deleted", "is_tombstone"
     )
 
 
+@query(_RECORDS_SQL)
+def thread_records_of_doubled_items(t):
+    """Every item landed twice, the second time without an author: each record once."""
+    items = turn_records(t)
+    return _landed(items.unionByName(items.withColumn("by", F.lit(None).cast("string"))))
+
+
+_INGEST_SQL = f"""
+    WITH stories AS (
+        SELECT conv_id * {TURNS} AS id, 2024 + conv_id % 2 AS year, conv_id % 12 + 1 AS month
+        FROM conversations WHERE turn = 0
+    ), asked AS (
+        SELECT year, month, min(id) AS id FROM stories
+        WHERE year = 2024 AND month IN (1, 3, 5) GROUP BY year, month
+    )
+    SELECT w.id, w.is_tombstone FROM ({_CLOSURE_SQL}) AS w WHERE w.root IN (SELECT id FROM asked)
+"""
+
+
+@query(_INGEST_SQL)
+def ingest_roundtrip(t):
+    """Find three months' threads, walk them, land them whole and read the landing back.
+
+    First turns are stories titled by month; one user has submitted all of them."""
+    title = F.concat(
+        F.lit("Who is hiring? ("),
+        F.date_format(F.make_date(F.lit(2000), (F.col("conv_id") % 12 + 1).cast("int"), F.lit(1)), "MMMM"),
+        F.lit(" "),
+        (F.lit(2024) + F.col("conv_id") % 2).cast("string"),
+        F.lit(")"),
+    )
+    first = F.col("id") % TURNS == 0
+    items = turn_records(t).withColumn("conv_id", F.floor(F.col("id") / TURNS))
+    items = items.withColumn("type", F.when(first, "story").otherwise("comment")).withColumn("title", F.when(first, title))
+    items = items.drop("conv_id")
+    stories = items.filter(first).select("id")
+    users = stories.groupBy(F.lit("poster").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("submitted"))
+    path = work_path(t.spark, "ingested")
+    months = [dt.date(2024, m, 1) for m in (1, 3, 5)]
+    ingest_months(users, items, months, path, dt.date(2025, 6, 1), "load", dt.datetime(2025, 6, 1))
+    fields = {"id": ("id", "bigint"), "is_tombstone": ("is_tombstone", "boolean")}
+    return json_project(read_bronze(t.spark, path), "payload", fields, keep=[])
+
+
 _TITLED_SQL = f"""
     SELECT conv_id * {TURNS} + turn AS id, {YEAR_SQL} AS year, {MONTH_NUMBER_SQL} AS month
     FROM ({_TITLE_SQL}) WHERE turn % 2 = 0

@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings every job of this library expects. Sizes (shuffle partitions, memory)
 # belong to the cluster and are left alone.
@@ -66,20 +68,39 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidegauge/{name}-{uuid.uuid4().hex}"
 
 
-# Input per core below which work on it is spread over all cores first.
-SMALL_BYTES_PER_CORE = 16 * 1024 * 1024
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal the rows out evenly before expensive work per row, if the caller asks for it.
+
+    Meant for a table that arrives as one file with one row group, hence as one task. It
+    costs a shuffle of all columns; larger inputs have splits enough.
+    """
+    return df if partitions is None else df.repartition(partitions)
 
 
-def spread_small(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
-    """Spread a small input over all cores before expensive work per row.
+class Scratch:
+    """Intermediate tables in the shared folder, emptied when the block ends.
 
-    A small table is often one file with one row group, hence one task. The size
-    is the optimizer's estimate for ``like`` (default: ``df`` itself). Inputs
-    above the bound have splits enough and are never shuffled here.
+    Several rounds of a table lie in one folder and are read as one relation with a
+    ``round`` column, so a plan over them does not grow with the rounds.
     """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    plan = (like if like is not None else df)._jdf.queryExecution().optimizedPlan()
-    size = int(str(plan.stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.tables = spark, work_path(spark, name), set()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        nothing = self.spark.range(0)
+        for table in self.tables:
+            nothing.write.mode("overwrite").parquet(f"{self.path}/{table}")
+
+    def write(self, rows: DataFrame, table: str, counted: Column | None = None, round_: int | None = None) -> tuple[DataFrame, int]:
+        """Write rows and read the table back (all its rounds), with the number of rows
+        just written (of those where ``counted`` holds), taken from the write itself."""
+        seen, place = Observation(), f"{self.path}/{table}"
+        number = F.count(F.lit(1)) if counted is None else F.count_if(counted)
+        self.tables.add(table)
+        rows.observe(seen, number.alias("n")).write.parquet(place if round_ is None else f"{place}/round={round_}")
+        schema = rows.schema if round_ is None else T.StructType([*rows.schema.fields]).add("round", "integer")
+        return self.spark.read.schema(schema).parquet(place), seen.get["n"]
