@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tidegauge.operators.compare import missing_keys
+from tidegauge.operators.scan import ScanRule, scan_documents
+from tidegauge.operators.series import page_after
 from tidegauge.operators.taxonomy import Term, tag_taxonomy
 from tidegauge.operators.trends import trends_from_text
 from tidegauge.sources.tables import run_partitions
@@ -40,6 +42,26 @@ def test_tagging_large_text_needs_no_shuffle(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+def test_many_terms_and_rules_read_the_text_once(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    terms = [Term(f"k{i}", f"K{i}", "", rf"\b(word{i})\b") for i in range(1000)]
+    assert _plan(tag_taxonomy(documents, terms, "text", ["doc_id"], rows_unique=True)).count("FileScan") == 1
+    rules = [ScanRule(rf"word{i}\s", f"r{i}") for i in range(1000)]
+    assert _plan(scan_documents(documents, "text", rules)).count("FileScan") == 1
+
+
+def test_flagship_reads_orders_twice(spark, sf_dir):
+    """Once for the keys and once for the counts, which make no key distinct."""
+    plan = _plan(queries()["monthly_trends_of_orders"](spark, sf_dir))
+    assert plan.count("FileScan") == 2 and "count(distinct" not in plan
+
+
+def test_pages_go_by_the_last_row(spark):
+    rows = spark.range(10**9).select("id", (F.col("id") % 10).alias("k"))
+    plan = _plan(page_after(rows, ["k", "id"], [3, 999], 20))
+    assert "limit=20" in plan
+
+
 def test_counting_large_text_shuffles_months_only(spark):
     large = spark.range(10**12).selectExpr(
         "id", "cast(id as string) as text", "timestamp_seconds(id) as at"

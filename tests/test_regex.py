@@ -135,8 +135,8 @@ def test_default_taxonomy_controls(spark):
     }
 
 
-def test_more_terms_than_one_pass(spark, monkeypatch):
-    monkeypatch.setattr("tidegauge.operators.taxonomy.TERMS_PER_PASS", 3)
+def test_more_terms_than_one_array(spark, monkeypatch):
+    monkeypatch.setattr("tidegauge.operators.taxonomy.TERMS_PER_ARRAY", 3)
     terms = [Term(f"t{i}", "", "c", rf"\b(w{i})\b") for i in range(10)]
     frame = spark.createDataFrame([(1, "w0 w4 W9"), (2, "w11")], "id int, text string")
     rows = tag_taxonomy(frame, terms, "text", ["id"]).collect()
@@ -191,7 +191,8 @@ def _python_hits(texts, rules, universal=True):
             normal = unicodedata.normalize("NFKC", line).lower()
             for rule in rules:
                 for match in re.finditer(rule.pattern, normal, re.IGNORECASE):
-                    hits.append((number, line_no, match.group(), rule.description))
+                    source = line if len(line) == len(normal) else normal
+                    hits.append((number, line_no, source[match.start() : match.end()], rule.description))
     return sorted(hits)
 
 

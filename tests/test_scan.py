@@ -40,9 +40,9 @@ def _hits(frame):
 
 def test_all_matches_of_all_rules(docs):
     assert _hits(scan_documents(docs, "text", RULES)) == [
+        (1, 2, "Vendor", "Vendor"),
         (1, 2, "vendor", "Vendor"),
-        (1, 2, "vendor", "Vendor"),
-        (1, 2, "vendor model", "Model"),
+        (1, 2, "vendor MODEL", "Model"),
         (1, 3, "made by tool", "Phrase"),
         (2, 1, "vendor", "Vendor"),
         (2, 1, "vendor model", "Model"),
@@ -66,10 +66,23 @@ def test_options(spark, docs):
     lines = to_lines(docs, "doc_id", "text")
     uncommented = _hits(scan_rules(lines, RULES, skip_prefix="#"))
     assert not [h for h in uncommented if h[3] == "Phrase" and h[0] == 1]
+    assert uncommented == _hits(scan_documents(docs, "text", RULES, skip_prefix="#"))
     with pytest.raises(ValueError):
         scan_documents(docs, "text", [])
 
 
+def test_matches_as_written(spark):
+    """Places carry over unless normalising changes the line's length."""
+    rows = [(1, "Use ChatGPT now, chatgpt. ÉTÉ Vendor"), (2, "ﬁne Vendor"), (3, "Ⅳ VENDOR"), (4, None), (5, ""), (6, "\nx\rVeNdOr")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string")
+    rules = [ScanRule(r"chatgpt", "A"), ScanRule(r"\bvendor\b", "B"), ScanRule(r"[Vv]endor", "C")]
+    hits = _hits(scan_documents(frame, "text", rules))
+    written = {(1, "A"): ["ChatGPT", "chatgpt"], (1, "B"): ["Vendor"], (2, "B"): ["vendor"], (3, "B"): ["vendor"], (6, "B"): ["VeNdOr"]}
+    for (doc, rule), want in written.items():
+        assert sorted(h[2] for h in hits if (h[0], h[3]) == (doc, rule)) == sorted(want)
+        assert rule != "B" or [h[2] for h in hits if (h[0], h[3]) == (doc, "C")] == want
+
+
 def test_scope(docs):
     scoped = scope_documents(
         docs, "path", [".py", ".md"], ["node_modules", "tools/checks/tests", "doc"], ["docs/ok.md"]
@@ -78,13 +91,13 @@ def test_scope(docs):
     assert scope_documents(docs, "path").count() == len(DOCS)
 
 
-def test_summary_and_passes(docs, monkeypatch):
+def test_summary_and_groups(docs, monkeypatch):
     hits = scan_documents(docs, "text", RULES)
     totals = {r.rule: r.hits for r in rule_summary(hits).collect()}
     assert totals == {"Vendor": 7, "Model": 2, "Phrase": 1}
     assert not scan_passed(hits)
     assert scan_passed(scan_documents(docs.filter("doc_id = 3"), "text", RULES))
-    monkeypatch.setattr("tidegauge.operators.scan.RULES_PER_PASS", 1)
+    monkeypatch.setattr("tidegauge.operators.scan.RULES_PER_TEST", 1)
     assert _hits(scan_documents(docs, "text", RULES)) == _hits(hits)
 
 

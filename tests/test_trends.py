@@ -19,7 +19,16 @@ from tidegauge.operators.trends import (
     spine_of,
     trends_from_text,
 )
-from tidegauge.plans.pipeline import Marts, check_marts, ingest_months, rebuild, trends_of_bronze
+from tidegauge.plans.pipeline import (
+    MART_TABLES,
+    Marts,
+    check_marts,
+    ingest_months,
+    read_marts,
+    rebuild,
+    trends_of_bronze,
+)
+from tidegauge.sources.tables import current_version, retire_versions
 from tidegauge.sources import schemas
 from tidegauge.sources.bronze import load_stats, read_bronze
 from tidegauge.sources.landing import default_taxonomy
@@ -82,7 +91,7 @@ def test_mart_by_bridge_and_in_one_pass(spark, monkeypatch):
     one_pass = trends_from_text(frame, TERMS, "posted_at", "full_text", START, END)
     assert _collected(one_pass) == _expected(rows)
     quality.enforce_contract(one_pass, schemas.TRENDS)
-    monkeypatch.setattr("tidegauge.operators.taxonomy.TERMS_PER_PASS", 1)
+    monkeypatch.setattr("tidegauge.operators.taxonomy.TERMS_PER_ARRAY", 1)
     assert _collected(
         trends_from_text(frame, TERMS, "posted_at", "full_text", START, END)
     ) == _expected(rows)
@@ -209,8 +218,37 @@ def test_months_to_marts(spark, tmp_path):
     assert counts == {(3, "python"): (2, 3), (3, "react"): (1, 3), (4, "rust"): (1, 1)}
     one_pass = trends_of_bronze(bronze, taxonomy, as_of, start)
     assert _collected(one_pass) == _collected(marts.trends)
+    # A rebuild that fails on its way is never seen; old versions can be emptied.
+    out = str(tmp_path / "out")
+    before = current_version(spark, out)
+    with pytest.raises(ValueError):
+        rebuild(spark, bronze, taxonomy.withColumn("tech_key", F.lit(1)), out, as_of, start)
+    assert current_version(spark, out) == before
+    newer = rebuild(spark, bronze, taxonomy, out, as_of, start)
+    assert current_version(spark, out) > before and newer.silver.count() == 4
+    assert len(retire_versions(spark, out, 1, MART_TABLES)) == 1
+    assert spark.read.parquet(f"{before}/silver").count() == 0
+    marts = read_marts(spark, out)
     checks = check_marts(marts, bronze, as_of, start).filter("violations > 0")
     assert checks.isEmpty()
+    # Faults of every kind at once: each check finds its own.
+    silver, trends, dim = marts.silver, marts.trends, marts.dim
+    wrong = trends.filter("tech_key = 'python'").limit(1)
+    faulty = Marts(
+        silver.unionByName(silver.limit(1).withColumn("author", F.lit(None).cast("string"))).withColumn(
+            "posted_at", F.col("posted_at") + F.expr("interval 1 second")
+        ),
+        marts.bridge.unionByName(marts.bridge.limit(1).withColumn("tech_category", F.lit("Other"))).unionByName(
+            marts.bridge.limit(1).withColumn("job_id", F.lit(None).cast("bigint"))
+        ),
+        dim.unionByName(dim.limit(1)),
+        trends.filter("tech_key <> 'rust' and month < '2024-05-01'")
+        .withColumn("mom_growth_pct", F.lit(1.0))
+        .withColumn("pct_share", F.when(F.col("tech_key") == "sql", 2.0).otherwise(F.col("pct_share")))
+        .unionByName(wrong.withColumn("tech_key", F.lit("unknown")).withColumn("tech_name", F.lit(None).cast("string"))),
+    )
+    seen = {r.check_name: r.violations for r in check_marts(faulty, bronze, dt.date(2024, 9, 1), start).collect()}
+    assert len(seen) == 14 and not [name for name, n in seen.items() if n == 0]
     broken = Marts(marts.silver, marts.bridge, marts.dim.limit(19), marts.trends)
     assert {r.check_name for r in check_marts(broken, bronze, as_of, start).filter("violations > 0").collect()} == {
         "trends_keys_known"

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +15,11 @@ from tidegauge.functions.regex import (
     matches_lower_case,
 )
 from tidegauge.functions.text import LINE_BREAK, nfkc_lower, without_last_break
-from tidegauge.session import spread_small
+from tidegauge.session import spread
 
-RULES_PER_PASS = 200
-_NORM = "__norm"
+# Rules that one joined pattern stands before.
+RULES_PER_TEST = 25
+_NORM, _LINE = "__norm", "__line"
 
 # Line ends of message scans: every separator str.splitlines knows.
 _MESSAGE_BREAK = r"\r\n|[\n\r\x0B\f\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
@@ -48,14 +48,20 @@ def rules_from(rows: Iterable) -> list[ScanRule]:
 
 
 def to_lines(
-    df: DataFrame, doc: str, text: str, keep: Sequence[str] = (), *, message: bool = False
+    df: DataFrame,
+    doc: str,
+    text: str,
+    keep: Sequence[str] = (),
+    *,
+    message: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Lines of each text, numbered from 1: ``doc``, ``keep``, ``line_no``, ``line``.
 
     Files break at newlines and carriage returns; messages at every separator
     Unicode has for lines.
     """
-    narrow = spread_small(df.select(doc, *keep, text), like=df)
+    narrow = spread(df.select(doc, *keep, text), partitions)
     return _split_lines(narrow, doc, keep, F.col(text), message)
 
 
@@ -102,19 +108,49 @@ def scope_documents(
 
 
 def _matches(norm: Column, pattern: str) -> Column:
-    general = F.regexp_extract_all(norm, F.lit(java_pattern(pattern, unicode_words=True)), 0)
+    """Matches in the normalised line."""
+    general = F.regexp_extract_all(norm, F.lit(_general(pattern)), 0)
     if not matches_lower_case(pattern):
         return general
     # Normalised text is lower case; of the letters that fold oddly only the
     # dotless i can be left in it.
-    fast = F.regexp_extract_all(norm, F.lit(lower_case_pattern(pattern, unicode_words=True)), 0)
+    fast = F.regexp_extract_all(norm, F.lit(_lower(pattern)), 0)
     return F.when(folds_oddly(norm, "\u0131"), general).otherwise(fast)
 
 
-def _rule_hits(norm: Column, rule: ScanRule, name: str | None) -> Column:
+def _general(pattern: str) -> str:
+    return java_pattern(pattern, unicode_words=True)
+
+
+def _lower(pattern: str) -> str:
+    return lower_case_pattern(pattern, unicode_words=True)
+
+
+def _as_written(norm: Column, line: Column, matches: Column, pattern: str) -> Column:
+    """The matches as they stand in the line itself.
+
+    Their places follow from the lengths of what lies between them. Where normalising
+    changes the length of a line places do not carry over: the normalised text stays.
+    """
+    between = F.split(norm, _general(pattern), -1)
+    ends = F.transform(
+        matches,
+        lambda m, i: F.aggregate(
+            F.zip_with(F.slice(between, 1, i + 1), F.slice(matches, 1, i), lambda a, b: F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0))),
+            F.lit(0),
+            lambda total, n: total + n,
+        ),
+    )
+    cut = F.zip_with(matches, ends, lambda m, at: F.substring(line, at + 1, F.char_length(m)))
+    same = (F.char_length(norm) == F.char_length(line)) & (F.size(between) == F.size(matches) + 1)
+    return F.when(same, cut).otherwise(matches)
+
+
+def _rule_hits(norm: Column, line: Column, rule: ScanRule, name: str | None) -> Column:
     matches = _matches(norm, rule.pattern)
+    written = F.when(F.size(matches) > 0, _as_written(norm, line, matches, rule.pattern)).otherwise(matches)
     found = F.transform(
-        matches, lambda m: F.struct(F.lit(rule.description).alias("rule"), m.alias("match_text"))
+        written, lambda m: F.struct(F.lit(rule.description).alias("rule"), m.alias("match_text"))
     )
     if rule.exceptions and name:
         exempt = F.coalesce(F.col(name).isin(list(rule.exceptions)), F.lit(False))
@@ -122,6 +158,17 @@ def _rule_hits(norm: Column, rule: ScanRule, name: str | None) -> Column:
     return found
 
 
+def _some_rule_matches(norm: Column, rules: Sequence[ScanRule]) -> Column:
+    """One pattern for several rules: most lines pass none of them and cost one match."""
+    plain = [r.pattern for r in rules if matches_lower_case(r.pattern)]
+    others = [r.pattern for r in rules if not matches_lower_case(r.pattern)]
+    joined = lambda form, some: "|".join(f"(?:{form(p)})" for p in some)
+    test = F.lit(False)
+    if plain:
+        test = folds_oddly(norm, "\u0131") | norm.rlike(joined(_lower, plain))
+    return test | norm.rlike(joined(_general, others)) if others else test
+
+
 def scan_rules(
     lines: DataFrame,
     rules: Sequence[ScanRule],
@@ -136,16 +183,15 @@ def scan_rules(
     """All non-overlapping matches of every rule in every line.
 
     Returns ``doc``, ``keep``, ``line_no``, ``match_text``, ``rule``. Lines are
-    normalised (NFKC, lower case) before matching and the normalised match is
-    reported. A line matching any ``allow`` pattern reports nothing; lines whose
+    normalised (NFKC, lower case) before matching; the match is reported as it is
+    written in the line, or normalised where that changes the line's length. A line matching any ``allow`` pattern reports nothing; lines whose
     first visible character starts ``skip_prefix`` are not read. A rule's own
     ``exceptions`` are compared to column ``name``; long lists come as a table
     ``exceptions(rule, <name or doc>)``.
     """
-    if skip_prefix:
-        lines = lines.filter(~F.regexp_replace("line", r"^[\s\p{Z}]+", "").startswith(skip_prefix))
+    lines = _unskipped(lines, "line", skip_prefix)
     columns = _columns(doc, keep, name)
-    normal = lines.select(*columns, "line_no", nfkc_lower("line").alias(_NORM))
+    normal = lines.select(*columns, "line_no", F.col("line").alias(_LINE), nfkc_lower("line").alias(_NORM))
     return _scan(normal, rules, doc, allow, name, keep, exceptions)
 
 
@@ -160,18 +206,35 @@ def scan_documents(
     keep: Sequence[str] = (),
     exceptions: DataFrame | None = None,
     message: bool = False,
+    skip_prefix: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """``to_lines`` and ``scan_rules`` in one, normalising each text once as a whole.
 
     Normalisation neither makes nor removes line ends, so the result is the same
-    with one call per document instead of one per line.
+    with one call per document instead of one per line. ``partitions`` spreads the
+    documents first.
     """
     columns = _columns(doc, keep, name)
-    narrow = spread_small(df.select(*columns, text), like=df)
-    whole = narrow.select(*columns, nfkc_lower(text).alias(_NORM))
-    lines = _split_lines(whole, doc, columns[1:], F.col(_NORM), message)
-    normal = lines.withColumnRenamed("line", _NORM)
-    return _scan(normal, rules, doc, allow, name, keep, exceptions)
+    narrow = spread(df.select(*columns, text), partitions)
+    whole = narrow.select(*columns, F.col(text).alias(_LINE), nfkc_lower(text).alias(_NORM))
+    mark = _MESSAGE_BREAK if message else LINE_BREAK
+    parts = whole.select(*columns, *(F.split(F.col(c), mark).alias(c) for c in (_LINE, _NORM)))
+    both = F.arrays_zip(without_last_break(F.col(_LINE)), without_last_break(F.col(_NORM)))
+    lines = parts.select(*columns, F.posexplode(both).alias("__pos", "__both")).select(
+        *columns,
+        (F.col("__pos") + 1).alias("line_no"),
+        F.col("__both").getField("0").alias(_LINE),
+        F.col("__both").getField("1").alias(_NORM),
+    )
+    return _scan(_unskipped(lines, _LINE, skip_prefix), rules, doc, allow, name, keep, exceptions)
+
+
+def _unskipped(lines: DataFrame, line: str, prefix: str | None) -> DataFrame:
+    """Lines whose first visible characters are not ``prefix``."""
+    if not prefix:
+        return lines
+    return lines.filter(~F.regexp_replace(line, r"^[\s\p{Z}]+", "").startswith(prefix))
 
 
 def _columns(doc: str, keep: Sequence[str], name: str | None) -> list[str]:
@@ -187,18 +250,19 @@ def _scan(
     keep: Sequence[str],
     exceptions: DataFrame | None,
 ) -> DataFrame:
-    columns, norm = _columns(doc, keep, name), F.col(_NORM)
-    for pattern in allow:
-        normal = normal.filter(~norm.rlike(java_pattern(pattern, unicode_words=True)))
-    passes = []
-    for first in range(0, len(rules), RULES_PER_PASS):
-        found = [_rule_hits(norm, r, name) for r in rules[first : first + RULES_PER_PASS]]
-        passes.append(
-            normal.select(*columns, "line_no", F.explode(F.concat(*found)).alias("__hit"))
-        )
-    if not passes:
+    if not rules:
         raise ValueError("a scan needs at least one rule")
-    hits = reduce(DataFrame.unionByName, passes).select(
+    columns, norm, line = _columns(doc, keep, name), F.col(_NORM), F.col(_LINE)
+    for pattern in allow:
+        normal = normal.filter(~norm.rlike(_general(pattern)))
+    none = F.array().cast("array<struct<rule:string,match_text:string>>")
+    groups = []
+    for first in range(0, len(rules), RULES_PER_TEST):
+        some = rules[first : first + RULES_PER_TEST]
+        found = F.concat(*(_rule_hits(norm, line, r, name) for r in some))
+        groups.append(F.when(_some_rule_matches(norm, some), found).otherwise(none))
+    # All rules in one projection: the text is read and normalised once, however many.
+    hits = normal.select(*columns, "line_no", F.explode(F.concat(*groups)).alias("__hit")).select(
         *columns,
         "line_no",
         F.col("__hit.match_text").alias("match_text"),

@@ -158,7 +158,8 @@ def selected_keys(spark: SparkSession, keys: Sequence[str]) -> DataFrame:
 def page(
     df: DataFrame, order: Sequence[str | Column], limit: int = DEFAULT_LIMIT, offset: int = 0
 ) -> DataFrame:
-    """``LIMIT``/``OFFSET`` over a total order."""
+    """``LIMIT``/``OFFSET`` over a total order, for shallow pages: one task holds and sorts
+    offset + limit rows. Deep pages go by ``page_after``."""
     if limit < 0:
         raise ValueError("limit must be non-negative")
     if offset < 0:
@@ -166,6 +167,27 @@ def page(
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(
+    df: DataFrame, order: Sequence[str], after: Sequence | None, limit: int = DEFAULT_LIMIT
+) -> DataFrame:
+    """The page that follows a row, given by its values of ``order`` (``None``: the first page).
+
+    ``order`` must be total and its columns not null. However deep the page, tasks keep
+    ``limit`` rows each, and the condition reaches the scan.
+    """
+    if limit < 0:
+        raise ValueError("limit must be non-negative")
+    if after is not None:
+        if len(after) != len(order):
+            raise ValueError("one value for each column of the order")
+        beyond = F.lit(False)
+        for column, value in reversed(list(zip(order, after))):
+            col = F.col(column)
+            beyond = (col > value) | ((col == value) & beyond)
+        df = df.filter((F.col(order[0]) >= after[0]) & beyond)
+    return df.orderBy(*order).limit(limit)
+
+
 def page_info(df: DataFrame, page_number: int, page_size: int) -> DataFrame:
     """Paging metadata: total rows, and whether rows follow page ``page_number`` (from 1)."""
     return df.agg(F.count(F.lit(1)).alias("total_count")).select(

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions.jsonfields import json_project
 from tidegauge.functions.text import clean_html, text_or_empty
-from tidegauge.session import spread_small
+from tidegauge.session import spread
 
 # Newest first; everything after the stamp only makes equal stamps deterministic.
 NEWEST_FIRST = ["ingested_at", "load_id", "posted_at", "author", "parent_id", "raw_text"]
@@ -24,10 +24,12 @@ SILVER_COLUMNS = [
 ]
 
 
-def clean_column(df: DataFrame, html: str, out: str, tag_replacement: str = "") -> DataFrame:
-    """Replace an HTML column by its cleaned text; a small input is spread over all cores."""
+def clean_column(
+    df: DataFrame, html: str, out: str, tag_replacement: str = "", partitions: int | None = None
+) -> DataFrame:
+    """Replace an HTML column by its cleaned text; ``partitions`` spreads the rows first."""
     cleaned = clean_html(html, tag_replacement).alias(out)
-    return spread_small(df).select(*[c for c in df.columns if c != html], cleaned)
+    return spread(df, partitions).select(*[c for c in df.columns if c != html], cleaned)
 
 
 def live_records(df: DataFrame, type_value: str, type_col: str = "type",

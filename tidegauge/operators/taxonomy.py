@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +16,12 @@ from tidegauge.functions.regex import (
     re2_match,
     required_words,
 )
-from tidegauge.session import spread_small
+from tidegauge.session import spread
 
-# Patterns evaluated in one pass over the text. More terms mean more passes, so
-# neither the plan nor the driver grows with the taxonomy.
-TERMS_PER_PASS = 400
+# A taxonomy is part of the plan: patterns to try on every text. One beyond this is an error.
+MAX_TERMS = 20_000
+# Patterns in one array of the projection, so that generated methods stay small.
+TERMS_PER_ARRAY = 50
 
 _TEXT, _LOW, _ODD = "__text", "__low", "__odd"
 
@@ -38,27 +38,23 @@ def terms_from(rows: Iterable[tuple[str, str, str, str]]) -> list[Term]:
     return [Term(*row) for row in rows]
 
 
-def _slices(taxonomy: DataFrame | list[Term]) -> Iterator[list[Term]]:
+def plan_terms(taxonomy: DataFrame | list[Term]) -> list[Term]:
+    """The terms as constants. A table is read once, here, and must be of bounded size."""
     if isinstance(taxonomy, list):
-        rows: Iterator[Term] = iter(taxonomy)
+        terms = taxonomy
     else:
-        rows = (
-            Term(r["tech_key"], r["display_name"], r["category"], r["regex_pattern"])
-            for r in taxonomy.toLocalIterator()
-        )
-    batch: list[Term] = []
-    for term in rows:
-        batch.append(term)
-        if len(batch) == TERMS_PER_PASS:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
-
-
-def prepare_text(df: DataFrame, text: str, keep: list[str | Column]) -> DataFrame:
+        rows = taxonomy.select("tech_key", "display_name", "category", "regex_pattern").limit(MAX_TERMS + 1)
+        terms = terms_from(map(tuple, rows.collect()))
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"a taxonomy may hold {MAX_TERMS} terms")
+    return terms
+
+
+def prepare_text(
+    df: DataFrame, text: str, keep: list[str | Column], partitions: int | None = None
+) -> DataFrame:
     """Columns needed for matching, each computed once per row."""
-    narrow = spread_small(df.select(*keep, F.col(text).alias(_TEXT)), like=df)
+    narrow = spread(df.select(*keep, F.col(text).alias(_TEXT)), partitions)
     kept = [c for c in narrow.columns if c != _TEXT]
     col = F.col(_TEXT)
     return narrow.select(*kept, _TEXT, F.lower(col).alias(_LOW), folds_oddly(col).alias(_ODD))
@@ -88,41 +84,32 @@ def tag_taxonomy(
     keep: list[str],
     *,
     rows_unique: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Pairs of row and matching term: ``keep`` columns, ``tech_key``, ``tech_category``.
 
     Patterns are constants of the plan and all of them are tried while a text is
-    in hand: no join, no shuffle, no pair that does not match. Set ``rows_unique``
-    when ``keep`` identifies a row (as after ``latest_by``), to save the distinct.
+    in hand: one scan, no join, no shuffle, no pair that does not match. Set
+    ``rows_unique`` when ``keep`` identifies a row (as after ``latest_by``), to save the
+    distinct; ``partitions`` spreads the rows first.
     """
-    passes = []
-    for terms in _slices(taxonomy):
-        found = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        term_matches(t),
-                        F.struct(
-                            F.lit(t.key).alias("tech_key"), F.lit(t.category).alias("tech_category")
-                        ),
-                    )
-                    for t in terms
-                ]
+    terms = plan_terms(taxonomy)
+    none = F.array().cast("array<struct<tech_key:string,tech_category:string>>")
+    arrays = [none]
+    for first in range(0, len(terms), TERMS_PER_ARRAY):
+        found = [
+            F.when(
+                term_matches(t),
+                F.struct(F.lit(t.key).alias("tech_key"), F.lit(t.category).alias("tech_category")),
             )
-        )
-        passes.append(
-            prepare_text(df, text, keep)
-            .select(*keep, F.explode(found).alias("__term"))
-            .select(*keep, "__term.tech_key", "__term.tech_category")
-        )
-    if not passes:
-        empty = df.select(*keep).filter(F.lit(False))
-        return empty.select(
-            *keep,
-            F.lit(None).cast("string").alias("tech_key"),
-            F.lit(None).cast("string").alias("tech_category"),
-        )
-    pairs = reduce(DataFrame.unionByName, passes)
+            for t in terms[first : first + TERMS_PER_ARRAY]
+        ]
+        arrays.append(F.array_compact(F.array(*found)))
+    pairs = (
+        prepare_text(df, text, keep, partitions)
+        .select(*keep, F.explode(F.concat(*arrays)).alias("__term"))
+        .select(*keep, "__term.tech_key", "__term.tech_category")
+    )
     return pairs if rows_unique else pairs.distinct()
 
 
@@ -156,6 +143,7 @@ def pattern_failures(
     key: str = "tech_key",
     expected: str = "should_match",
     keep: list[str] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Control cases (text, key, expected) that a pattern gets wrong.
 
@@ -163,10 +151,13 @@ def pattern_failures(
     case whose key is not in the taxonomy counts as not matched.
     """
     columns = [*(keep or [text]), key, expected]
-    checked = prepare_text(cases, text, columns).withColumn("did_match", F.lit(False))
-    for terms in _slices(taxonomy):
-        verdict = F.when(F.lit(False), F.lit(False))
-        for t in terms:
-            verdict = verdict.when(F.col(key) == t.key, term_matches(t))
-        checked = checked.withColumn("did_match", F.coalesce(verdict, F.col("did_match")))
+    terms = plan_terms(taxonomy)
+    verdict = F.lit(False)
+    for first in range(0, len(terms), TERMS_PER_ARRAY):
+        some = terms[first : first + TERMS_PER_ARRAY]
+        own = F.when(F.lit(False), F.lit(False))
+        for t in some:
+            own = own.when(F.col(key) == t.key, term_matches(t))
+        verdict = F.when(F.col(key).isin([t.key for t in some]), own).otherwise(verdict)
+    checked = prepare_text(cases, text, columns, partitions).withColumn("did_match", F.coalesce(verdict, F.lit(False)))
     return checked.filter(F.col(expected) != F.col("did_match")).select(*columns, "did_match")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions.dates import in_months, month_of
 from tidegauge.functions.metrics import growth_pct, safe_share
-from tidegauge.operators.taxonomy import Term, _slices, prepare_text, term_matches
+from tidegauge.operators.taxonomy import Term, plan_terms, prepare_text, term_matches
 
 # First month of the calendar spine and of the load partitions.
 SPINE_START = dt.date(2011, 6, 1)
@@ -94,7 +93,7 @@ def with_growth(base: DataFrame, key: str) -> DataFrame:
 
 def monthly_trends(
     mentions: DataFrame,
-    totals: DataFrame,
+    totals: DataFrame | None,
     dim: DataFrame,
     start: dt.date,
     end: dt.date,
@@ -105,23 +104,28 @@ def monthly_trends(
 
     Both inputs are aggregates, so the joins move months x keys rows, never
     records. ``totals`` has at most one row per month of the spine after the
-    range filter; that is the bound under which it is broadcast.
+    range filter; that is the bound under which it is broadcast. Without ``totals``
+    a month's total is the sum of its mentions: for records that have exactly one
+    key, all of them in ``dim``, which are then read and counted once.
     """
     spine = F.col("month").between(start.replace(day=1), end)
     grid = dense_grid(dim.select(key, name), start, end)
-    base = (
-        grid.join(mentions.filter(spine), ["month", key], "left")
-        .join(F.broadcast(totals.filter(spine)), "month", "left")
-        .select(
-            "month",
-            key,
-            name,
-            F.coalesce("mention_count", F.lit(0)).alias("mention_count"),
-            F.coalesce("total_jobs", F.lit(0)).alias("total_jobs"),
-        )
-        .withColumn("pct_share", safe_share(F.col("mention_count"), F.col("total_jobs")))
+    base = grid.join(mentions.filter(spine), ["month", key], "left")
+    total = F.col("total_jobs")
+    if totals is None:
+        base = base.withColumn("total_jobs", F.sum("mention_count").over(Window.partitionBy("month")))
+    else:
+        base = base.join(F.broadcast(totals.filter(spine)), "month", "left")
+    counted = base.select(
+        "month",
+        key,
+        name,
+        F.coalesce("mention_count", F.lit(0)).alias("mention_count"),
+        F.coalesce(total, F.lit(0)).alias("total_jobs"),
+    )
+    return with_growth(
+        counted.withColumn("pct_share", safe_share(F.col("mention_count"), total)), key
     )
-    return with_growth(base, key)
 
 
 def trends_from_text(
@@ -131,42 +135,38 @@ def trends_from_text(
     text: str,
     start: dt.date,
     end: dt.date,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The trend mart straight from records with unique ids, in one pass over the text.
 
     Per month, one counter per term and one for all rows: tasks send a row per
-    month, and no bridge rows exist. More terms than one pass takes add passes.
+    month, and no bridge rows exist. ``partitions`` spreads the records first.
     """
-    spark = records.sparkSession
-    stamp_type = records.schema[timestamp].dataType
-    in_range = records.filter(in_months(timestamp, stamp_type, start, end))
-    marts = []
-    for terms in _slices(taxonomy):
-        counters = [F.count_if(term_matches(t)).alias(f"__n{i}") for i, t in enumerate(terms)]
-        per_month = (
-            prepare_text(in_range, text, [month_of(timestamp).alias("month")])
-            .groupBy("month")
-            .agg(F.count(F.lit(1)).alias("total_jobs"), *counters)
-        )
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(t.key).alias("tech_key"),
-                    F.lit(t.name).alias("tech_name"),
-                    F.coalesce(F.col(f"__n{i}"), F.lit(0)).alias("mention_count"),
-                )
-                for i, t in enumerate(terms)
-            ]
-        )
-        marts.append(
-            month_spine(spark, start, end)
-            .join(F.broadcast(per_month), "month", "left")
-            .select("month", "total_jobs", F.explode(cells).alias("cell"))
-            .select(
-                "month", "cell.*", F.coalesce("total_jobs", F.lit(0)).alias("total_jobs")
-            )
-            .withColumn("pct_share", safe_share(F.col("mention_count"), F.col("total_jobs")))
-        )
-    if not marts:
+    spark, terms = records.sparkSession, plan_terms(taxonomy)
+    if not terms:
         raise ValueError("trends need at least one term")
-    return with_growth(reduce(DataFrame.unionByName, marts), "tech_key")
+    in_range = records.filter(in_months(timestamp, records.schema[timestamp].dataType, start, end))
+    counters = [F.count_if(term_matches(t)).alias(f"__n{i}") for i, t in enumerate(terms)]
+    per_month = (
+        prepare_text(in_range, text, [month_of(timestamp).alias("month")], partitions)
+        .groupBy("month")
+        .agg(F.count(F.lit(1)).alias("total_jobs"), *counters)
+    )
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(t.key).alias("tech_key"),
+                F.lit(t.name).alias("tech_name"),
+                F.coalesce(F.col(f"__n{i}"), F.lit(0)).alias("mention_count"),
+            )
+            for i, t in enumerate(terms)
+        ]
+    )
+    mart = (
+        month_spine(spark, start, end)
+        .join(F.broadcast(per_month), "month", "left")
+        .select("month", "total_jobs", F.explode(cells).alias("cell"))
+        .select("month", "cell.*", F.coalesce("total_jobs", F.lit(0)).alias("total_jobs"))
+        .withColumn("pct_share", safe_share(F.col("mention_count"), F.col("total_jobs")))
+    )
+    return with_growth(mart, "tech_key")

@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 
 from tidegauge.functions.dates import to_utc
 from tidegauge.functions.jsonfields import is_json
-from tidegauge.session import spread_small
+from tidegauge.session import spread
 from tidegauge.sources import schemas
 
 _CORRUPT = "_corrupt"
+# JSON types of fields as the variant parser names them; an absent field has none.
+_TEXT, _NULL = "STRING", "VOID"
 
 
 def _as_text(schema: T.StructType) -> T.StructType:
@@ -49,11 +51,28 @@ def _typed(raw: Column, field: T.StructField) -> Column:
     return value
 
 
-def _unreadable(raw: Column, item: Column, schema: T.StructType) -> Column:
-    """True when an optional field is present but not of its type."""
+def _kind(document: Column, name: str) -> Column:
+    """The JSON type of a field; tells a null from an absent field and text from the rest."""
+    return F.schema_of_variant(F.try_variant_get(document, f"$.{name}", "variant"))
+
+
+def _wrong_text(document: Column, name: str) -> Column:
+    """True for a text field that holds a number, a flag, a list or an object."""
+    return F.coalesce(~_kind(document, name).isin(_TEXT, _NULL), F.lit(False))
+
+
+def _unreadable(raw: Column, item: Column, document: Column, schema: T.StructType) -> Column:
+    """True when an optional field is present but not of its type.
+
+    Lists and flags may be absent, but not null.
+    """
     bad = F.lit(False)
     for field in schema:
         value = raw.getField(field.name)
+        if isinstance(field.dataType, (T.ArrayType, T.BooleanType)):
+            bad = bad | F.coalesce(_kind(document, field.name) == _NULL, F.lit(False))
+        elif isinstance(field.dataType, T.StringType):
+            bad = bad | _wrong_text(document, field.name)
         if isinstance(field.dataType, T.ArrayType):
             bad = bad | F.coalesce(
                 F.exists(item.getField(field.name), lambda x: x.isNull()), F.lit(False)
@@ -71,12 +90,18 @@ def _classify(
     schema: T.StructType,
     required: list[str],
     extra: list[tuple[Column, str]],
+    partitions: int | None,
+    text_times: bool,
 ) -> DataFrame:
     raw = F.from_json(
         F.col(payload), _as_text(schema), {"columnNameOfCorruptRecord": _CORRUPT}
     )
-    # Exploding a one-element array keeps filters on the reason above the parse.
-    staged = spread_small(df).select("*", F.explode(F.array(raw)).alias("_raw")).select(
+    # Exploding a one-element array keeps filters on the reason above the parse. Values come
+    # from the first parse as text, their JSON types from the second.
+    both = F.struct(raw.alias("raw"), F.try_parse_json(F.col(payload)).alias("document"))
+    parsed = spread(df, partitions).select("*", F.explode(F.array(both)).alias("_both"))
+    parsed = parsed.select("*", F.col("_both.raw").alias("_raw"), F.col("_both.document").alias("_document"))
+    staged = parsed.drop("_both").select(
         "*",
         F.struct(*[_typed(F.col("_raw"), f).alias(f.name) for f in schema]).alias("item"),
     )
@@ -87,20 +112,31 @@ def _classify(
     )
     for name in required:
         reason = reason.when(F.col(f"_raw.{name}").isNull(), F.lit(f"missing_{name}"))
-        reason = reason.when(F.col(f"item.{name}").isNull(), F.lit(f"bad_{name}"))
+        wrong = F.col(f"item.{name}").isNull()
+        if isinstance(schema[name].dataType, T.StringType):
+            wrong = wrong | _wrong_text(F.col("_document"), name)
+        elif isinstance(schema[name].dataType, T.TimestampType) and not text_times:
+            wrong = wrong | F.col(f"_raw.{name}").try_cast("double").isNull()
+        reason = reason.when(wrong, F.lit(f"bad_{name}"))
     for condition, label in extra:
         reason = reason.when(condition, F.lit(label))
-    reason = reason.when(_unreadable(F.col("_raw"), F.col("item"), schema), F.lit("bad_field"))
-    return staged.withColumn("reason", reason).drop("_raw")
+    unreadable = _unreadable(F.col("_raw"), F.col("item"), F.col("_document"), schema)
+    return staged.withColumn("reason", reason.when(unreadable, F.lit("bad_field"))).drop("_raw", "_document")
 
 
 def classify_items(
-    df: DataFrame, payload: str = "payload", types: list[str] | None = None
+    df: DataFrame,
+    payload: str = "payload",
+    types: list[str] | None = None,
+    partitions: int | None = None,
+    text_times: bool = True,
 ) -> DataFrame:
     """Add ``item`` (typed struct) and ``reason`` (null when valid) to each row.
 
     ``id``, ``type`` and ``time`` are required, the type must be a known tag,
-    list fields default to empty and flags to false, unknown fields are ignored.
+    list fields default to empty and flags to false, unknown fields are ignored. Text
+    fields must hold text or null, and neither lists nor flags may be null. Stamps are
+    epoch seconds; ``text_times`` also takes date text, as replayed payloads have it.
     """
     known = types or schemas.ITEM_TYPES
     return _classify(
@@ -109,12 +145,16 @@ def classify_items(
         schemas.ITEM,
         ["id", "type", "time"],
         [(~F.col("item.type").isin(known), "unknown_type")],
+        partitions,
+        text_times,
     )
 
 
-def classify_users(df: DataFrame, payload: str = "payload") -> DataFrame:
+def classify_users(
+    df: DataFrame, payload: str = "payload", partitions: int | None = None, text_times: bool = True
+) -> DataFrame:
     """As ``classify_items`` for user records: ``id``, ``created``, ``karma`` required."""
-    return _classify(df, payload, schemas.USER, ["id", "created", "karma"], [])
+    return _classify(df, payload, schemas.USER, ["id", "created", "karma"], [], partitions, text_times)
 
 
 def split_valid(classified: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:

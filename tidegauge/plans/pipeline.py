@@ -19,9 +19,10 @@ from tidegauge.operators.trends import (
     monthly_trends,
     trends_from_text,
 )
+from tidegauge.session import work_path
 from tidegauge.sources import schemas
 from tidegauge.sources.bronze import append_bronze, to_payload
-from tidegauge.sources.tables import check_months, write_table
+from tidegauge.sources.tables import check_months, current_version, new_version, publish, write_table
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,10 @@ def ingest_months(
     come back to the driver.
     """
     firsts = check_months(months, as_of)
-    threads = find_threads(users, items, firsts)
+    # Written once: the search joins all users' lists with all items.
+    place = work_path(users.sparkSession, "threads")
+    find_threads(users, items, firsts).write.parquet(place)
+    threads = users.sparkSession.read.schema("user string, year int, month int, thread_id bigint").parquet(place)
     found = {
         dt.date(r["year"], r["month"], 1)
         for r in threads.select("year", "month").distinct().collect()
@@ -73,17 +77,12 @@ def build_marts(
     start: dt.date = SPINE_START,
 ) -> Marts:
     """All tables of the transformation, as plans. Staging makes ids unique, so
-    neither the bridge nor the counts need a distinct."""
+    the bridge needs no distinct; the trends count mentions and totals in one pass
+    over bronze. ``rebuild`` writes each table before the next one reads it."""
     silver = stage_records(bronze)
     pairs = bridge(silver, taxonomy)
     dim = quality.enforce_contract(dim_terms(taxonomy), schemas.TAXONOMY_DIM)
-    trends = monthly_trends(
-        monthly_mentions(pairs, "job_id", "tech_key", "job_posted_at", pairs_unique=True),
-        monthly_totals(silver, "id", "posted_at", ids_unique=True),
-        dim,
-        start,
-        as_of,
-    )
+    trends = trends_of_bronze(bronze, taxonomy, as_of, start)
     return Marts(silver, pairs, dim, quality.enforce_contract(trends, schemas.TRENDS))
 
 
@@ -92,8 +91,12 @@ def rebuild(spark: SparkSession, bronze: DataFrame, taxonomy: DataFrame, out: st
     """Full rebuild of silver, bridge, dimension and trends below ``out``.
 
     Each table is written before the next one reads it, so the text is parsed,
-    deduplicated and cleaned once.
+    deduplicated and cleaned once. All go to a folder of a new version, which is
+    published when the last one is whole: until then, and if the rebuild fails,
+    ``current_version`` names the version before.
     """
+    base = out
+    version, out = new_version(base)
     write_table(stage_records(bronze), f"{out}/silver")
     silver = spark.read.parquet(f"{out}/silver")
     write_table(bridge(silver, taxonomy), f"{out}/bridge")
@@ -108,9 +111,17 @@ def rebuild(spark: SparkSession, bronze: DataFrame, taxonomy: DataFrame, out: st
         as_of,
     )
     write_table(quality.enforce_contract(trends, schemas.TRENDS), f"{out}/trends")
-    return Marts(
-        silver, pairs, spark.read.parquet(f"{out}/dim_terms"), spark.read.parquet(f"{out}/trends")
-    )
+    publish(spark, base, version)
+    return read_marts(spark, base)
+
+
+MART_TABLES = ["silver", "bridge", "dim_terms", "trends"]
+
+
+def read_marts(spark: SparkSession, out: str) -> Marts:
+    """The tables of the version that was published last."""
+    folder = current_version(spark, out)
+    return Marts(*(spark.read.parquet(f"{folder}/{name}") for name in MART_TABLES))
 
 
 def trends_of_bronze(bronze: DataFrame, taxonomy: DataFrame | list[Term], as_of: dt.date,

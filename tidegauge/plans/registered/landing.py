@@ -62,16 +62,16 @@ def bronze_fields(t):
 
 @query(
     """
-    SELECT event_id, user_id, event_type, value
+    SELECT event_id, ts, user_id, event_type, value,
+           CAST(json_extract_string(props, '$.k') AS BIGINT) AS k
     FROM events
     """
 )
 def landing_files(t):
-    """Landed JSON files read back, as payload text and with a schema."""
+    """Landed JSON files read back as payload text, all fields."""
     path = work_path(t.spark, "landing")
     event_payloads(t).write.text(path)
-    fields = {k: v for k, v in EVENT_FIELDS.items() if k not in ("ts", "k")}
-    return json_project(read_landing(t.spark, path), "payload", fields, keep=[])
+    return json_project(read_landing(t.spark, path), "payload", EVENT_FIELDS, keep=[])
 
 
 @query(

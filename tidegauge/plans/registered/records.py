@@ -213,9 +213,52 @@ def reingest_idempotent(t):
     return without_zone(stage_records(bronze.unionByName(bronze)))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type <> 'click'")
+_SHAPES = [
+    # What an optional field holds, and the reason it gives.
+    ('"by":123', "bad_field"),
+    ('"text":{"a":1}', "bad_field"),
+    ('"title":true', "bad_field"),
+    ('"url":["x"]', "bad_field"),
+    ('"kids":null', "bad_field"),
+    ('"deleted":null', "bad_field"),
+    ('"score":"x"', "bad_field"),
+    ('"by":null,"text":"x","kids":["7",8],"dead":false,"score":null', None),
+    ('"by":"u"', None),
+]
+
+
+def _shaped(id_: str, shapes: list, first: str, cases: str):
+    """A payload of every shape in turn, and the reasons in SQL."""
+    number = F.col(id_) % len(shapes)
+    optional = F.element_at(F.array(*(F.lit(s) for s, _ in shapes)), (number + 1).cast("int"))
+    payload = F.concat(F.lit(first), F.col(id_).cast("string"), F.lit(cases), optional, F.lit("}"))
+    return payload
+
+
+def _reasons(id_: str, shapes: list) -> str:
+    named = (f"WHEN {i} THEN '{reason}'" for i, (_, reason) in enumerate(shapes) if reason)
+    return f"CASE {id_} % {len(shapes)} {' '.join(named)} END AS reason"
+
+
+@query(f"SELECT event_id, {_reasons('event_id', _SHAPES)} FROM events")
+def validate_typed_records(t):
+    """Fields of another JSON type than declared, and nulls where none may be."""
+    payload = _shaped("event_id", _SHAPES, '{"id":', ',"type":"comment","time":1700000000,')
+    return classify_items(t.events.select("event_id", payload.alias("payload"))).select("event_id", "reason")
+
+
+_USER_SHAPES = [('"id":7', "bad_id"), ('"id":"u","about":5', "bad_field"), ('"id":"u","submitted":null', "bad_field"), ('"id":"u","about":null', None)]
+
+
+@query(f"SELECT c_custkey, {_reasons('c_custkey', _USER_SHAPES)} FROM customer")
+def validate_typed_users(t):
+    payload = _shaped("c_custkey", _USER_SHAPES, '{"karma":', ',"created":1175714200,')
+    return classify_users(t.customer.select("c_custkey", payload.alias("payload"))).select("c_custkey", "reason")
+
+
+@query("SELECT event_id, user_id FROM events")
 def landed_records(t):
-    """Payload round trip of typed rows: serialise, drop one type, read back."""
-    kept = t.events.filter(F.col("event_type") != "click").select("event_id", "user_id")
+    """Payload round trip of typed rows: serialise and read back."""
+    kept = t.events.select("event_id", "user_id")
     parsed = F.from_json("payload", "event_id bigint, user_id bigint")
     return to_payload(kept).select(parsed.alias("r")).select("r.*")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidegauge.session import prepare
+from tidegauge.session import prepare, spread
 
 
 class Tables:
@@ -16,6 +16,11 @@ class Tables:
         self.spark = prepare(spark)
         self.folder = str(folder).rstrip("/")
 
+    def spread(self, rows: DataFrame) -> DataFrame:
+        """The driver's tables are one file with one row group each, so one task would do
+        all the work per row; queries with much of it deal the rows out first."""
+        return spread(rows, self.spark.sparkContext.defaultParallelism)
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

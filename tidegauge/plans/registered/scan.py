@@ -46,7 +46,7 @@ def _hits_sql(lines: str, rules: list[ScanRule], exceptions: bool = False) -> st
         if exceptions and rule.exceptions:
             where = f"WHERE source NOT IN ({', '.join(repr(e) for e in rule.exceptions)})"
         parts.append(
-            f"SELECT doc_id, line_no, unnest(regexp_extract_all(lower(line), '{pattern}')) "
+            f"SELECT doc_id, line_no, unnest(regexp_extract_all(line, '(?i){pattern}')) "
             f"AS match_text, '{rule.description}' AS rule FROM ({lines}) {where}"
         )
     return " UNION ALL ".join(parts)
@@ -66,7 +66,16 @@ HITS_SQL = _hits_sql(LINES_SQL, RULES)
 
 @query(HITS_SQL)
 def rule_hits(t):
-    return scan_documents(t.documents, "text", RULES)
+    return scan_documents(t.spread(t.documents.select("doc_id", "text")), "text", RULES)
+
+
+_WORD_RULES = [ScanRule(r"the[a-z]+", "Word"), ScanRule(r"(une|der)\s[a-z]+", "Article and word")]
+
+
+@query(_hits_sql(LINES_SQL, _WORD_RULES))
+def rule_hits_original_case(t):
+    """Words at the start of sentences and in capitals are reported as they are written."""
+    return scan_documents(t.spread(t.documents.select("doc_id", "text")), "text", _WORD_RULES)
 
 
 @query(HITS_SQL)
@@ -149,7 +158,7 @@ def rule_hits_uncommented(t):
 
 @query(f"SELECT rule, count(*) AS hits FROM ({HITS_SQL}) GROUP BY rule")
 def rule_totals(t):
-    return rule_summary(scan_documents(t.documents, "text", RULES))
+    return rule_summary(scan_documents(t.spread(t.documents.select("doc_id", "text")), "text", RULES))
 
 
 @query(

@@ -15,6 +15,7 @@ from tidegauge.operators.series import (
     list_terms,
     lookup_names,
     page,
+    page_after,
     page_info,
     pivot_series,
     search_terms,
@@ -84,11 +85,11 @@ def pivot_of_series(t):
     """
     SELECT n.n_name AS key, upper(n.n_name) AS name, r.r_name AS category
     FROM nation AS n JOIN region AS r ON n.n_regionkey = r.r_regionkey
-    WHERE n.n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 5000)
+    WHERE n.n_nationkey IN (SELECT c_nationkey FROM customer)
     """
 )
 def list_terms_of_nations(t):
-    """Nations with well-off customers: repeated fact keys do not multiply the list."""
+    """Nations with customers: repeated fact keys do not multiply the list."""
     taxonomy = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_name").alias("tech_key"),
         F.upper("n_name").alias("display_name"),
@@ -96,7 +97,7 @@ def list_terms_of_nations(t):
         F.col("n_nationkey"),
     )
     facts = (
-        t.customer.filter("c_acctbal > 5000")
+        t.customer
         .join(taxonomy, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("tech_key")
     )
@@ -136,6 +137,14 @@ def page_terms(t):
     return page(t.part.select("p_partkey", "p_name"), ["p_name", "p_partkey"], 20, 40)
 
 
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 40")
+def page_after_terms(t):
+    """The same page, found by the last row of the page before."""
+    rows, order = t.part.select("p_partkey", "p_name"), ["p_name", "p_partkey"]
+    before = page(rows, order, 1, 39).first()
+    return page_after(rows, order, None if before is None else [before["p_name"], before["p_partkey"]], 20)
+
+
 @query(
     """
     SELECT count(*) AS total_count, CAST(3 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size,

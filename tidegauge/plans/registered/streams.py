@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidegauge.functions.jsonfields import json_project
-from tidegauge.plans.pipeline import build_marts, check_marts, rebuild
+from tidegauge.plans.pipeline import build_marts, check_marts, rebuild, trends_of_bronze
 from tidegauge.plans.registered.landing import EVENT_FIELDS, event_payloads
 from tidegauge.plans.registered.records import STAGED_SQL, event_bronze, without_zone
 from tidegauge.plans.registered.registry import query
@@ -102,6 +102,12 @@ def pipeline_marts(t):
     return build_marts(event_bronze(t), _taxonomy(t), PIPE_LAST, PIPE_FIRST).trends
 
 
+@query(_PIPE_MART)
+def bronze_trends(t):
+    """Payloads to trend mart without a bridge, straight from the landing table."""
+    return trends_of_bronze(event_bronze(t), _taxonomy(t), PIPE_LAST, PIPE_FIRST)
+
+
 @query(_PIPE_MART)
 def pipeline_rebuild(t):
     """The same with every table written, as a full rebuild does."""

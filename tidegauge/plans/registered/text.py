@@ -137,13 +137,13 @@ def _clean_sql(column: str, tag: str = "") -> str:
 
 @query(f"SELECT page_id, {_clean_sql('html')} AS body FROM pages")
 def clean_html_pages(t):
-    return clean_column(t.pages.select("page_id", "html"), "html", "body")
+    return clean_column(t.spread(t.pages.select("page_id", "html")), "html", "body")
 
 
 @query(f"SELECT page_id, {_clean_sql('html', ' ')} AS body FROM pages")
 def clean_html_spaced(t):
     """Cleaning with a space for every tag, so that words do not run together."""
-    return clean_column(t.pages.select("page_id", "html"), "html", "body", tag_replacement=" ")
+    return clean_column(t.spread(t.pages.select("page_id", "html")), "html", "body", tag_replacement=" ")
 
 
 @query(
@@ -159,6 +159,15 @@ def clean_documents(t):
     )
 
 
+@query("SELECT page_id FROM pages WHERE page_id % 3 = 0")
+def dq_residual_tags_found(t):
+    """Encoded tags survive cleaning: every third page has one and is found."""
+    encoded = F.when(F.col("page_id") % 3 == 0, "&lt;b&gt;bold&lt;/b&gt; ").otherwise("plain ")
+    html = F.concat(F.lit("<p>"), encoded, F.col("url"), F.lit("<br></p>"))
+    cleaned = clean_column(t.pages.select("page_id", html.alias("html")), "html", "body")
+    return residual_tags(cleaned, "body").select("page_id")
+
+
 @query(
     f"""
     SELECT page_id FROM (SELECT page_id, {_clean_sql('html')} AS body FROM pages)
@@ -166,7 +175,7 @@ def clean_documents(t):
     """
 )
 def dq_residual_tags(t):
-    cleaned = clean_column(t.pages.select("page_id", "html"), "html", "body")
+    cleaned = clean_column(t.spread(t.pages.select("page_id", "html")), "html", "body")
     return residual_tags(cleaned, "body").select("page_id")
 
 

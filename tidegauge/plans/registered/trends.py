@@ -75,7 +75,7 @@ _PAIRS_SQL = f"""
 
 @query(_PAIRS_SQL)
 def taxonomy_bridge(t):
-    return bridge(posted_documents(t), DOC_TERMS).drop("matched_at")
+    return bridge(t.spread(posted_documents(t)), DOC_TERMS).drop("matched_at")
 
 
 @query(
@@ -238,8 +238,11 @@ MART_SQL = mart_sql(
 
 
 def order_trends(t):
-    mentions = order_mentions(t).withColumnRenamed("o_orderpriority", "tech_key")
-    return monthly_trends(mentions, order_totals(t), priority_dim(t), SPINE_FIRST, SPINE_LAST)
+    # Order keys are unique and have one priority each: totals are sums of the mentions.
+    mentions = monthly_mentions(
+        t.orders, "o_orderkey", "o_orderpriority", "o_orderdate", pairs_unique=True
+    ).withColumnRenamed("o_orderpriority", "tech_key")
+    return monthly_trends(mentions, None, priority_dim(t), SPINE_FIRST, SPINE_LAST)
 
 
 @query(MART_SQL)
@@ -268,7 +271,7 @@ _DOC_MART = mart_sql(
 def document_trends(t):
     """Trends from text in one pass: tagging and counting without bridge rows."""
     return trends_from_text(
-        posted_documents(t), DOC_TERMS, "posted_at", "full_text", DOC_FIRST, DOC_LAST
+        t.spread(posted_documents(t)), DOC_TERMS, "posted_at", "full_text", DOC_FIRST, DOC_LAST
     )
 
 

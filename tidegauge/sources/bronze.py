@@ -31,8 +31,9 @@ def append_bronze(
 ) -> int:
     """Append a batch of payloads; returns the number of rows written.
 
-    The whole batch carries one ``load_id`` and one UTC timestamp and becomes
-    visible at once, when the job commits. A load may be appended in several
+    The whole batch carries one ``load_id`` and one UTC timestamp. How it becomes visible
+    is the committer's affair: the default one renames file by file, so a reader at that
+    moment may see part of a load. A load may be appended in several
     batches; with ``replace_load`` the load's earlier rows are replaced instead,
     which makes a retried batch safe. The count comes from the write itself.
     """

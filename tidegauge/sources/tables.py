@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,40 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> No
         df.write.mode("overwrite").parquet(path)
 
 
+def new_version(path: str) -> tuple[str, str]:
+    """Name and folder of a version to write below ``path``; names sort by time."""
+    now = dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    name = f"{now}-{uuid.uuid4().hex[:8]}"
+    return name, f"{path}/version-{name}"
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Make a finished version the current one: one small file, committed last.
+
+    Readers of an older version keep their files; a rebuild that fails is never published.
+    """
+    row = spark.createDataFrame([(version,)], "version string")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/published")
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """Folder of the version published last."""
+    published = spark.read.schema("version string").parquet(f"{path}/published")
+    return f"{path}/version-{published.agg(F.max('version')).first()[0]}"
+
+
+def retire_versions(spark: SparkSession, path: str, keep: int, tables: list[str]) -> list[str]:
+    """Empty the tables of all published versions but the newest ``keep``; their names."""
+    if keep < 1:
+        raise ValueError("the current version must stay")
+    published = spark.read.schema("version string").parquet(f"{path}/published")
+    old = [r["version"] for r in published.distinct().orderBy(F.desc("version")).offset(keep).collect()]
+    for version in old:
+        for table in tables:
+            spark.range(0).write.mode("overwrite").parquet(f"{path}/version-{version}/{table}")
+    return old
+
+
 def check_months(months: list[dt.date], as_of: dt.date) -> list[dt.date]:
     """First days of the requested months; a future month is an error."""
     firsts = [m.replace(day=1) for m in months]
