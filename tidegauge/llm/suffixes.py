@@ -13,9 +13,10 @@ or in two. Words are runs without ASCII white space, compared byte by byte.
    position, so a passage in a third of all documents is spread over many tasks; the few
    rows at the edges of sorted partitions are compared afterwards.
 3. Suffixes that agree with a neighbour are extended to both sides: every window of
-   ``min_words`` words around them is compared, by its fingerprint, with all others,
-   after counting within each task. A word belongs to a repeat if some window over it
-   occurs twice. This is exact up to collisions of 64-bit fingerprints.
+   ``min_words`` words that retains one of them is compared, by its fingerprint, with all
+   others; each task first keeps the least and the greatest place of a fingerprint. A word
+   belongs to a repeat if some window over it occurs twice. This is exact up to collisions
+   of 64-bit fingerprints.
 
 Defined results: null and empty texts and texts under ``min_words`` words have no repeats;
 rows equal in id and text are one document; the first place of a passage is the one with
@@ -32,14 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import stored
-from tidegauge.llm.words import minimisers, window_hashes, word_bounds, word_hashes
+from tidegauge.llm.common import numbered, stored
+from tidegauge.llm.words import minimiser_of, window_hashes, word_bounds, word_hashes
 
 MIN_WORDS = 50
 # One of every ``GAP`` suffixes in a row is retained, by the fingerprint of ``SEED_WORDS`` words.
 GAP = 32
 SEED_WORDS = 6
 PLACE = ("id_rank", "doc_id", "doc_hash")
+# Bits of a place that number the word; the others number the document.
+WORD_BITS = 28
 
 
 def _words(text: bytes) -> np.ndarray:
@@ -56,36 +59,33 @@ def _place(id_column: str, text: str) -> list[Column]:
     ]
 
 
-def retained(words: np.ndarray, min_words: int = MIN_WORDS, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the retained suffixes of one text, and fingerprints of their next words."""
+def _seeds(words: np.ndarray, min_words: int, gap: int) -> np.ndarray:
+    """For each window of a text the position of the suffix that it retains."""
     reach = min_words - gap + 1
     if len(words) < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    keys = window_hashes(words, min(SEED_WORDS, reach))[: len(words) - reach + 1]
-    at = minimisers(keys, gap)
-    return at, window_hashes(words, reach)[at]
+        return np.empty(0, np.int64)
+    return minimiser_of(window_hashes(words, min(SEED_WORDS, reach))[: len(words) - reach + 1], gap)
 
 
-def _suffixes(documents: DataFrame, text: str, min_words: int, gap: int) -> DataFrame:
-    schema = "id_rank boolean, doc_id long, doc_hash long, position int, suffix long"
+def retained(words: np.ndarray, min_words: int = MIN_WORDS, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the retained suffixes of one text, and fingerprints of their next words."""
+    at = np.unique(_seeds(words, min_words, gap))
+    return at, window_hashes(words, min_words - gap + 1)[at] if len(at) else np.empty(0, np.uint64)
+
 
+def _suffixes(texts: DataFrame, min_words: int, gap: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, positions, keys = [], [], []
-            for i, value in enumerate(batch.column(3)):
-                found, suffix = retained(_words((value.as_py() or "").encode()), min_words, gap)
-                rows.append(np.full(len(found), i))
-                positions.append(found.astype(np.int32))
-                keys.append(suffix)
-            of = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            if not len(of):
+            found = [retained(_words(value.as_py().encode()), min_words, gap) for value in batch.column(1)]
+            if not found:
                 continue
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).take(of) for k in range(3)), pa.array(np.concatenate(positions)), pa.array(np.concatenate(keys).view(np.int64))],
-                names=["id_rank", "doc_id", "doc_hash", "position", "suffix"],
-            )
+            of = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+            at = np.concatenate([at for at, _ in found]).astype(np.int32)
+            keys = np.concatenate([keys for _, keys in found]).view(np.int64)
+            columns = [batch.column(0).take(pa.array(of)), pa.array(at), pa.array(keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_key", "position", "suffix"])
 
-    return documents.mapInArrow(run, schema)
+    return texts.select("doc_key", "text").mapInArrow(run, "doc_key long, position int, suffix long")
 
 
 def _agreeing(suffixes: DataFrame) -> DataFrame:
@@ -94,101 +94,104 @@ def _agreeing(suffixes: DataFrame) -> DataFrame:
     Each sorted partition also returns its first and its last suffix, marked, since their
     neighbours lie in other partitions.
     """
-    ordered = suffixes.repartitionByRange("suffix", *PLACE, "position").sortWithinPartitions("suffix")
+    ordered = suffixes.repartitionByRange("suffix", "doc_key", "position").sortWithinPartitions("suffix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous = None  # the last row of the batch before, not yet judged to its right
+        held = None  # the last row so far and whether it agrees with the one before
+        begun = False
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first = previous is None
-            table = pa.Table.from_batches([batch] if first else [previous[0], batch]).combine_chunks()
-            keys = table.column("suffix").to_numpy()
+            rows = batch if held is None else pa.Table.from_batches([held[0], batch]).combine_chunks().to_batches()[0]
+            keys = rows.column(2).to_numpy()
             equal = keys[1:] == keys[:-1]
-            agrees = np.r_[False, equal] | np.r_[equal, False]
-            if not first:
-                agrees[0] |= previous[1]
+            agrees = np.r_[held is not None and held[1], equal] | np.r_[equal, False]
             edge = np.zeros(len(keys), bool)
-            edge[0] = first
-            last = table.slice(len(keys) - 1).to_batches()[0]
-            previous = (last, bool(agrees[-1]))
-            yield from _marked(table.slice(0, len(keys) - 1), agrees[:-1], edge[:-1])
-            if first and len(keys) == 1:
-                yield from _marked(pa.Table.from_batches([last]), np.array([False]), np.array([True]))
-        if previous is not None:
-            yield from _marked(pa.Table.from_batches([previous[0]]), np.array([previous[1]]), np.array([True]))
-
-    def _marked(table: pa.Table, agrees: np.ndarray, edge: np.ndarray) -> list[pa.RecordBatch]:
-        table = table.append_column("agrees", pa.array(agrees)).append_column("edge", pa.array(edge))
-        return table.filter(pa.array(agrees | edge)).combine_chunks().to_batches()
-
-    schema = T.StructType([*suffixes.schema.fields]).add("agrees", "boolean").add("edge", "boolean")
+            edge[0], begun = not begun, True
+            last = len(keys) - 1
+            yield marked(rows.slice(0, last), agrees[:last], edge[:last])
+            held = (rows.slice(last), bool(agrees[last]))
+            if edge[last]:
+                yield marked(held[0], np.array([False]), np.array([True]))
+        if held is not None:
+            yield marked(held[0], np.array([held[1]]), np.array([True]))
+
+    def marked(rows: pa.RecordBatch, agrees: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        columns = [*rows.columns, pa.array(agrees), pa.array(edge)]
+        names = ["doc_key", "position", "suffix", "agrees", "edge"]
+        return pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(agrees | edge))
+
+    schema = "doc_key long, position int, suffix long, agrees boolean, edge boolean"
     found = stored(ordered.mapInArrow(run, schema), "suffix-neighbours")
-    # A key at the edges of two partitions: at most two rows for each partition.
-    shared = found.filter("edge").groupBy("suffix").agg(F.countDistinct(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*PLACE, "position"))).alias("n")).filter("n > 1")
-    late = found.filter("edge and not agrees").join(shared.select("suffix"), "suffix", "left_semi")
-    columns = [*PLACE, "position"]
-    return found.filter("agrees").select(columns).union(late.select(columns)).distinct()
-
-
-def _joined(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents with the positions found in them."""
-    on = [documents[c].eqNullSafe(found[f"repeat__{c}"]) if c == "doc_id" else documents[c] == found[f"repeat__{c}"] for c in PLACE]
-    condition = on[0] & on[1] & on[2]
-    return documents.join(found, condition)
-
+    # Of the edges, at most two rows for each partition, those with the suffix of another one.
+    edges = found.filter("edge").select("suffix", "doc_key", "position").distinct()
+    shared = edges.groupBy("suffix").count().filter("count > 1").select("suffix")
+    late = found.filter("edge and not agrees").join(shared, "suffix", "left_semi")
+    columns = ["doc_key", "position"]
+    return found.filter("agrees").select(columns).union(late.select(columns))
 
-def _listed(rows: DataFrame) -> DataFrame:
-    """Positions by document; a document's own words bound the list."""
-    return rows.groupBy(*(F.col(c).alias(f"repeat__{c}") for c in PLACE)).agg(F.sort_array(F.collect_list("position")).alias("positions"))
 
+def extended_windows(words: np.ndarray, positions: np.ndarray, min_words: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows that retain a suffix at one of the positions, and their fingerprints."""
+    starts = np.flatnonzero(np.isin(_seeds(words, min_words, gap), positions))
+    return starts, window_hashes(words, min_words)[starts]
 
-def starts_near(positions: np.ndarray, count: int, min_words: int, gap: int) -> np.ndarray:
-    """Starts of the windows that retain one of the suffixes at these positions."""
-    near = (positions[:, None] - np.arange(gap)[None, :]).ravel()
-    return np.unique(near[(near >= 0) & (near <= count - min_words)])
 
-
-def _windows(extended: DataFrame, min_words: int, gap: int) -> DataFrame:
-    schema = "id_rank boolean, doc_id long, doc_hash long, position int, window long"
+def _windows(texts: DataFrame, min_words: int, gap: int) -> DataFrame:
+    """Rows (place, window), and for each document one row with its number and all starts."""
+    schema = "place long, window long, doc_no long, starts array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                words = _words((batch.column(3)[i].as_py() or "").encode())
-                positions = batch.column(4)[i].values.to_numpy(zero_copy_only=False)
-                starts = starts_near(positions.astype(np.int64), len(words), min_words, gap)
-                keys = window_hashes(words, min_words)[starts]
-                of = pa.array(np.full(len(starts), i))
+            for number, text, positions in zip(*batch.columns):
+                starts, keys = extended_windows(_words(text.as_py().encode()), positions.values.to_numpy(), min_words, gap)
+                place = (number.as_py() << WORD_BITS) + starts
+                size = len(starts)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(of) for k in range(3)), pa.array(starts.astype(np.int32)), pa.array(keys.view(np.int64))],
-                    names=["id_rank", "doc_id", "doc_hash", "position", "window"],
+                    [
+                        pa.concat_arrays([pa.array(place), pa.nulls(1, pa.int64())]),
+                        pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(1, pa.int64())]),
+                        pa.concat_arrays([pa.nulls(size, pa.int64()), pa.array([number.as_py()], pa.int64())]),
+                        pa.concat_arrays([pa.nulls(size, pa.list_(pa.int32())), pa.array([starts.tolist()], pa.list_(pa.int32()))]),
+                    ],
+                    names=["place", "window", "doc_no", "starts"],
                 )
 
-    return extended.mapInArrow(run, schema)
-
+    return texts.select("doc_no", "text", "positions").mapInArrow(run, schema)
 
-def repeated_windows(documents: DataFrame, text: str = "text", id_column: str = "doc_id", min_words: int = MIN_WORDS, gap: int = GAP) -> tuple[DataFrame, DataFrame]:
-    """Places of repeated windows, and of their first occurrences.
 
-    Both tables have the columns of ``PLACE`` and ``position``, the number of the window's
-    first word. The result lies in the shared folder.
-    """
+def repeated_windows(documents: DataFrame, text: str = "text", id_column: str = "doc_id", min_words: int = MIN_WORDS, gap: int = GAP) -> DataFrame:
+    """Documents (by ``PLACE``) with the starts of their repeated windows, ``repeated``, and of
+    those among them that are first places, ``firsts``."""
     if not 1 <= gap <= min_words:
         raise ValueError("gap must lie between 1 and min_words")
-    texts = documents.select(*_place(id_column, text), F.col(text).cast("string").alias("text")).filter("text is not null")
-    suffixes = stored(_suffixes(texts, "text", min_words, gap), "suffixes")
-    found = _listed(_agreeing(suffixes))
-    columns = [texts[c] for c in PLACE]
-    extended = _joined(texts, found).select(*columns, texts["text"], "positions")
-    windows = stored(_windows(extended, min_words, gap), "suffix-windows")
-    place = F.struct(*PLACE, "position")
-    # Counted within each task first: rows equal in id and text are one place.
-    groups = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    groups = stored(groups.filter("first <> last"), "suffix-groups")
-    firsts = groups.select("first.*")
-    repeated = windows.join(groups.select("window"), "window", "left_semi").select(*PLACE, "position")
-    return repeated, firsts
+    value = F.col(text).cast("string")
+    texts = documents.filter(F.col(text).isNotNull()).select(
+        *_place(id_column, text), F.xxhash64(id_column, value).alias("doc_key"), value.alias("text")
+    )
+    suffixes = stored(_suffixes(texts, min_words, gap), "suffixes")
+    # A document's own words bound the list.
+    listed = _agreeing(suffixes).groupBy("doc_key").agg(F.sort_array(F.collect_set("position")).alias("positions"))
+    listed = stored(listed, "suffix-documents")
+    found = texts.select(*PLACE, "doc_key").join(listed.select("doc_key"), "doc_key", "left_semi").distinct()
+    named = numbered(found, [*PLACE], "doc_no", "suffix-numbers")
+    lists = named.join(listed, "doc_key").select(*(F.col(c).alias(f"{c}__") for c in ("doc_key", *PLACE)), "doc_no", "positions")
+    same = (F.col("doc_key") == F.col("doc_key__")) & (F.col("doc_hash") == F.col("doc_hash__")) & F.col("doc_id").eqNullSafe(F.col("doc_id__"))
+    windows = stored(_windows(texts.join(lists, same), min_words, gap), "suffix-windows")
+    groups = windows.filter("window is not null").groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    position = F.col("first").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).cast("int")
+    firsts = groups.groupBy(F.shiftright("first", WORD_BITS).alias("doc_no")).agg(
+        F.collect_list(F.when(F.col("first") < F.col("last"), position)).alias("firsts"),
+        F.collect_list(F.when(F.col("first") == F.col("last"), position)).alias("lone"),
+    )
+    own = windows.filter("doc_no is not null").select("doc_no", "starts").dropDuplicates(["doc_no"])
+    empty = F.array().cast("array<int>")
+    judged = own.join(firsts, "doc_no", "left").select(
+        "doc_no",
+        F.array_sort(F.array_except("starts", F.coalesce("lone", empty))).alias("repeated"),
+        F.array_sort(F.coalesce("firsts", empty)).alias("firsts"),
+    )
+    return named.join(judged.filter(F.size("repeated") > 0), "doc_no").select(*PLACE, "repeated", "firsts")
 
 
 def spans(starts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -207,12 +210,7 @@ def repeated_passages(documents: DataFrame, text: str = "text", id_column: str =
     ``first_word`` and ``last_word`` number the words from zero, ends included; ``n_words`` is
     the passage's length; ``has_first`` tells whether all of its words are in first places.
     """
-    repeated, firsts = repeated_windows(documents, text, id_column, min_words, gap)
-    marked = repeated.withColumn("is_first", F.lit(False)).union(firsts.select(*PLACE, "position").withColumn("is_first", F.lit(True)))
-    rows = marked.groupBy(*PLACE).agg(
-        F.sort_array(F.collect_set(F.when(~F.col("is_first"), F.col("position")))).alias("all"),
-        F.sort_array(F.collect_set(F.when(F.col("is_first"), F.col("position")))).alias("firsts"),
-    )
+    rows = repeated_windows(documents, text, id_column, min_words, gap)
     schema = "doc_id long, first_word int, last_word int, n_words int, has_first boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +226,7 @@ def repeated_passages(documents: DataFrame, text: str = "text", id_column: str =
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "first_word", "last_word", "n_words", "has_first"])
 
-    return rows.select("doc_id", "all", "firsts").mapInArrow(run, schema)
+    return rows.select("doc_id", "repeated", "firsts").mapInArrow(run, schema)
 
 
 def cut_text(text: str, starts: np.ndarray, firsts: np.ndarray, min_words: int) -> str:
@@ -261,12 +259,8 @@ def without_repeats(documents: DataFrame, text: str = "text", id_column: str = "
     All columns stay; ``text`` is cut. A document of which nothing is left goes; one that
     had no words before stays.
     """
-    repeated, firsts = repeated_windows(documents, text, id_column, min_words, gap)
-    marked = repeated.withColumn("is_first", F.lit(False)).union(firsts.select(*PLACE, "position").withColumn("is_first", F.lit(True)))
-    by_place = marked.groupBy(*(F.col(c).alias(f"repeat__{c}") for c in PLACE)).agg(
-        F.sort_array(F.collect_set(F.when(~F.col("is_first"), F.col("position")))).alias("repeat__all"),
-        F.sort_array(F.collect_set(F.when(F.col("is_first"), F.col("position")))).alias("repeat__firsts"),
-    )
+    found = stored(repeated_windows(documents, text, id_column, min_words, gap), "repeats")
+    by_place = found.select(*(F.col(c).alias(f"repeat__{c}") for c in found.columns))
     rank, key, digest = _place(id_column, text)
     condition = (
         (rank == F.col("repeat__id_rank")) & (digest == F.col("repeat__doc_hash")) & key.eqNullSafe(F.col("repeat__doc_id"))
@@ -290,4 +284,4 @@ def without_repeats(documents: DataFrame, text: str = "text", id_column: str = "
             columns = [pa.array(texts, batch.schema.field(where).type) if k == where else batch.column(k) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stays))
 
-    return joined.select(*names, "repeat__all", "repeat__firsts").mapInArrow(run, schema)
+    return joined.select(*names, "repeat__repeated", "repeat__firsts").mapInArrow(run, schema)

@@ -84,11 +84,11 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix((sums[size:] - sums[:-size]) * down[:count] + np.uint64(size))
 
 
-def minimisers(keys: np.ndarray, window: int) -> np.ndarray:
-    """Positions that hold the least key (the first such) of some ``window`` keys in a row."""
+def minimiser_of(keys: np.ndarray, window: int) -> np.ndarray:
+    """For each ``window`` keys in a row the position of the least (the first such)."""
     if len(keys) < window:
         return np.empty(0, np.int64)
     views = np.lib.stride_tricks.sliding_window_view(keys, window)
     step = 1 << 15  # bounds the working copies of a long text
-    found = [np.unique(views[i : i + step].argmin(axis=1) + np.arange(i, min(i + step, len(views)))) for i in range(0, len(views), step)]
-    return np.unique(np.concatenate(found))
+    found = [views[i : i + step].argmin(axis=1) for i in range(0, len(views), step)]
+    return np.concatenate(found) + np.arange(len(views))
