@@ -3,13 +3,14 @@
 Numbers, units behind numbers, and capitalised words (names) of a text become typed
 placeholders; what is left are lower-case words. Windows of the documents' templates are
 joined by hash with those of the benchmark's items. A match names an alignment of an item
-with a place of a document; there the whole item is compared word by word, and the values
-in the slots must correspond one to one, so a question with other numbers or names is
-found while a text that fills the slots at random is not.
+with a place of a document; there the whole item is compared word by word, runs of
+``WINDOW`` equal words count, and the values in their slots must correspond one to one, so
+a question with other numbers or names is found while a text that fills the slots at
+random is not. An alignment whose slots disagree does not count.
 
 The document side takes every ``STRIDE``-th window and the benchmark side all, so any
 stretch of ``WINDOW + STRIDE - 1`` template words that a document shares with an item is
-aligned. A document leaks an item if the aligned stretches hold ``least_share`` of the
+aligned, if each window in it has ``LITERALS`` plain words. A document leaks an item if the aligned stretches hold ``least_share`` of the
 item's words.
 
 Defined results: null and empty texts neither leak nor are leaked; items under ``WINDOW``
@@ -115,7 +116,8 @@ def leaks(
     """Pairs of document and benchmark item that the document leaks.
 
     Columns: the document's id and ``doc_hash``, ``item_id``, ``n_item`` (words of the item),
-    ``share`` of them found, ``n_slots`` among these, and ``verbatim`` (equal slot values).
+    ``share`` of them found, ``n_slots`` among these (of the alignment with most), and
+    ``verbatim`` (an alignment has equal values in all slots).
     """
     texts = documents.select(F.col(id_column), F.col(text).cast("string").alias("text")).filter("text is not null")
     items = stored(items_of(benchmark, item_text, item_id), "benchmark-items")
@@ -140,6 +142,7 @@ def leaks(
             "places",
             lambda p: F.struct(
                 p["item_key"].alias("item_key"),
+                p["shift"].alias("shift"),
                 F.greatest(-p["shift"], F.lit(0)).alias("from"),
                 ours(F.col("words"), p).alias("words"),
                 ours(F.col("values"), p).alias("values"),
@@ -150,38 +153,44 @@ def leaks(
     theirs = items.join(marks.select("item_key").distinct(), "item_key", "left_semi")
     theirs = theirs.select("item_id", "item_key", F.col("words").alias("item_words"), F.col("values").alias("item_values"))
     both = aligned.join(F.broadcast(theirs) if small else theirs, "item_key")
-    # One struct for each word that agrees: its place in the item, and the values if it is a slot.
+    # For each word of the stretch 1 if it agrees, then 0 again in runs that are too short.
+    agrees = F.transform(
+        "words", lambda word, j: F.when(word == F.get("item_words", j + F.col("from")), "1").otherwise("0")
+    )
+    runs = F.transform(
+        F.split(F.array_join(agrees, ""), "0", -1),
+        lambda run: F.when(F.length(run) >= WINDOW, run).otherwise(F.repeat(F.lit("0"), F.length(run))),
+    )
+    marked = both.withColumn("marks", F.array_join(runs, "0"))
     agreeing = F.filter(
         F.transform(
-            F.sequence(F.lit(0), F.size("words") - 1),
-            lambda j: F.struct(
+            "words",
+            lambda word, j: F.struct(
                 (j + F.col("from")).alias("at"),
-                F.get("words", j).alias("word"),
-                (F.get("words", j) == F.get("item_words", j + F.col("from"))).alias("same"),
+                word.alias("word"),
+                F.substring(F.col("marks"), j + 1, F.lit(1)).alias("mark"),
                 F.get("item_values", j + F.col("from")).alias("theirs"),
                 F.get("values", j).alias("ours"),
             ),
         ),
-        lambda x: x["same"],
-    )
-    rows = both.filter(F.size("words") > 0).select(
-        id_column, "key_", "crc_", "item_id", "item_key", F.size("item_words").alias("n_item"), F.explode(agreeing).alias("x")
+        lambda x: x["mark"] == "1",
     )
+    key = [id_column, "key_", "crc_", "item_id", "item_key"]
+    rows = marked.select(*key, "shift", F.size("item_words").alias("n_item"), F.explode(agreeing).alias("x"))
     slot = F.when(~_is_literal(F.col("x.word")), F.struct("x.word", "x.theirs", "x.ours"))
-    judged = rows.groupBy(id_column, "key_", "crc_", "item_id", "item_key", "n_item").agg(
+    alignments = rows.groupBy(*key, "n_item", "shift").agg(
         F.collect_set("x.at").alias("at"), F.collect_set(slot).alias("slots")
     )
     distinct = lambda field: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["word"], s[field]))))
-    judged = judged.withColumn("share", F.size("at") / F.col("n_item"))
-    one_to_one = (distinct("theirs") == F.size("slots")) & (distinct("ours") == F.size("slots"))
-    return judged.filter((F.col("share") >= least_share) & one_to_one).select(
-        id_column,
-        F.col("key_").alias("doc_hash"),
-        "item_id",
-        "n_item",
-        "share",
-        F.size("slots").alias("n_slots"),
-        F.forall("slots", lambda s: s["theirs"] == s["ours"]).alias("verbatim"),
+    sound = alignments.filter((distinct("theirs") == F.size("slots")) & (distinct("ours") == F.size("slots")))
+    judged = sound.groupBy(*key, "n_item").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"),
+        F.max(F.size("slots")).alias("n_slots"),
+        F.max(F.forall("slots", lambda s: s["theirs"] == s["ours"])).alias("verbatim"),
+    )
+    share = F.col("found") / F.col("n_item")
+    return judged.filter(share >= least_share).select(
+        id_column, F.col("key_").alias("doc_hash"), "item_id", "n_item", share.alias("share"), "n_slots", "verbatim"
     )
 
 
