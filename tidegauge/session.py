@@ -16,6 +16,8 @@ EXPECTED_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows are whole texts: batches on the way to and from Python stay small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
