@@ -152,7 +152,7 @@ def _windows(texts: DataFrame, min_words: int, gap: int) -> DataFrame:
                         pa.concat_arrays([pa.array(place), pa.nulls(1, pa.int64())]),
                         pa.concat_arrays([pa.array(keys.view(np.int64)), pa.nulls(1, pa.int64())]),
                         pa.concat_arrays([pa.nulls(size, pa.int64()), pa.array([number.as_py()], pa.int64())]),
-                        pa.concat_arrays([pa.nulls(size, pa.list_(pa.int32())), pa.array([starts.tolist()], pa.list_(pa.int32()))]),
+                        pa.concat_arrays([pa.nulls(size, pa.list_(pa.int32())), pa.array([starts.astype(np.int32)], pa.list_(pa.int32()))]),
                     ],
                     names=["place", "window", "doc_no", "starts"],
                 )
@@ -216,8 +216,9 @@ def repeated_passages(documents: DataFrame, text: str = "text", id_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, starts, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                starts, own = np.array(starts, np.int64), np.array(own, np.int64)
+            for doc, *lists in zip(*batch.columns):
+                doc = doc.as_py()
+                starts, own = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)
                 for low, high in spans(starts, min_words):
                     inside = int(((starts >= low) & (starts < high)).sum())
                     ours = int(((own >= low) & (own < high)).sum())
