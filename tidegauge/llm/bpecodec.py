@@ -84,12 +84,14 @@ def encode(
     keep: tuple[str, ...] = ("doc_id",),
     pattern: str = public_tokenizers.PATTERN,
     offsets: bool = False,
+    decoded: bool = False,
 ) -> DataFrame:
     """Token ids of every whole text, with the kept columns.
 
     Each match of ``pattern`` is encoded separately; special strings are ordinary text.
     ``offsets`` adds ``starts`` and ``ends``, the characters of the text that a token
     covers (a token that holds only part of a character covers the whole of it).
+    ``decoded`` adds what ``decode`` makes of the ids, without another way to Python.
     """
     names = [*keep]
     schema = T.StructType([documents.schema[name] for name in names])
@@ -97,6 +99,8 @@ def encode(
     if offsets:
         for name in ("starts", "ends"):
             schema = schema.add(name, T.ArrayType(T.IntegerType(), False))
+    if decoded:
+        schema = schema.add("decoded", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _single_threaded()
@@ -119,11 +123,14 @@ def encode(
                 columns = [batch.column(i).slice(at, len(part)) for i in range(len(names))]
                 at += len(part)
                 found = valued([cut(x) for x in part], memo, spanned if offsets else plain)
-                if not offsets:
-                    columns.append(_lists([b"".join([head, *rest]) for head, rest in found], 4))
-                else:
+                if offsets:
                     joined = [_with_offsets([head, *rest]) for head, rest in found]
-                    columns += [_lists([x[i] for x in joined], 4) for i in range(3)]
+                else:
+                    joined = [(b"".join([head, *rest]),) for head, rest in found]
+                columns += [_lists([x[i] for x in joined], 4) for i in range(len(joined[0]))]
+                if decoded:
+                    out = [bytes_of(np.frombuffer(x[0], np.int32), ranks) for x in joined]
+                    columns.append(pa.array(out, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return documents.select(*names, F.col(text).cast("string").alias("text_")).mapInArrow(run, schema)

@@ -17,8 +17,8 @@ import pyarrow as pa
 _LOOSE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 # Texts worked on at a time, in characters, and pieces a worker keeps in mind.
-SLICE_CHARS = 2_000_000
-KEPT_PIECES = 400_000
+SLICE_CHARS = 500_000
+KEPT_PIECES = 200_000
 KEPT_LENGTH = 60
 
 

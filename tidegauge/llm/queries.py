@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm.bpecodec import decode, encode
+from tidegauge.llm.bpecodec import encode
 from tidegauge.llm.bpecount import count_tokens
 from tidegauge.llm.common import table
 from tidegauge.llm.covertree import top_inner_products
@@ -138,15 +138,11 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = encode(table(spark, folder, "documents"), ranks)
+    encoded = encode(table(spark, folder, "documents"), ranks, decoded=True)
     ids = F.col("ids")
-    digests = encoded.select(
+    return encoded.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
-        "ids",
-    )
-    decoded = decode(digests, ranks, keep=("doc_id", "n_tokens", "ids_sha256"))
-    return decoded.select(
-        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
