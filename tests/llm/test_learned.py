@@ -33,7 +33,8 @@ def test_language_of_odd_documents(spark):
     assert {r["lang_pred"] for r in found} <= {"und", "en", "de", "fr", "ja"}
     kept = langid.keep_identified(documents)
     assert kept.columns == documents.columns
-    assert {r["doc_id"] for r in kept.collect()}.isdisjoint({7, 8, 9, 10})
+    rows = kept.collect()
+    assert {r["doc_id"] for r in rows}.isdisjoint({7, 8, 9, 10}) and {r["lang_pred"] for r in rows} == {"x"}
 
 
 def test_language_without_labels(spark):

@@ -201,16 +201,19 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", id_colum
     return train(np.concatenate(blocks), labels, languages)
 
 
-def with_language(documents: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
-    """All columns of the documents with ``lang_pred`` and ``lang_score`` for each whole text.
+def with_language(
+    documents: DataFrame, network: Network | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "lang_score")
+) -> DataFrame:
+    """All columns of the documents, with the language and its score for each whole text.
 
-    Columns of these names are replaced.
+    Columns of the names in ``into`` are replaced.
     """
-    rest = documents.drop("lang_pred", "lang_score")
+    pred, value = into
+    rest = documents.drop(*into)
     if network is None:
-        return rest.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("lang_score", F.lit(0.0))
+        return rest.withColumn(pred, F.lit(UNDETERMINED)).withColumn(value, F.lit(0.0))
     where = rest.columns.index(text)
-    schema = T.StructType([*rest.schema.fields]).add("lang_pred", "string").add("lang_score", "double")
+    schema = T.StructType([*rest.schema.fields]).add(pred, "string").add(value, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(network)
@@ -229,8 +232,8 @@ def with_language(documents: DataFrame, network: Network | None, text: str = "te
 
     scored = rest.mapInArrow(run, schema)
     known = lettered(F.col(text))
-    return scored.withColumn("lang_pred", F.when(known, F.col("lang_pred")).otherwise(UNDETERMINED)).withColumn(
-        "lang_score", F.when(known, F.col("lang_score")).otherwise(0.0)
+    return scored.withColumn(pred, F.when(known, F.col(pred)).otherwise(UNDETERMINED)).withColumn(
+        value, F.when(known, F.col(value)).otherwise(0.0)
     )
 
 
@@ -257,5 +260,5 @@ def identify(documents: DataFrame, text: str = "text", lang: str = "lang", id_co
 
 def keep_identified(documents: DataFrame, least: float = 0.35, text: str = "text", lang: str = "lang", id_column: str = "doc_id") -> DataFrame:
     """The documents that have a language, by a probability of at least ``least``."""
-    scored = with_language(documents, learn(documents, text, lang, id_column), text)
-    return scored.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*documents.columns)
+    scored = with_language(documents, learn(documents, text, lang, id_column), text, ("pred__", "score__"))
+    return scored.filter((F.col("pred__") != UNDETERMINED) & (F.col("score__") >= least)).select(*documents.columns)
