@@ -90,6 +90,22 @@ def test_cut_leaves_first_places(spark):
     assert all(len({p[:3] for p in at}) == 1 for at in places(left, 50).values())
 
 
+def test_cut_of_overlapping_repeats(spark):
+    before, passage, after = prose(60, 40), prose(61, 70), prose(62, 40)
+    both = f"{before} {passage} {after}"
+    rows = [row(1, f"{prose(63, 60)} {passage} {prose(64, 60)}"), row(2, f"{prose(65, 60)} {both} {prose(66, 60)}"), row(3, f"{prose(67, 60)} {both} {prose(68, 60)}")]
+    # A loop of three words whose first place is here, and one whose first place is not.
+    loop = "one two three " * 60
+    rows += [row(4, f"{prose(69, 60)} {loop}{prose(70, 60)}"), row(5, f"{prose(71, 60)} {loop}{prose(72, 60)}")]
+    kept = {r["doc_id"]: r["text"] for r in suffixes.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert kept[1] == rows[0][1]
+    assert kept[2] == f"{prose(65, 60)} {before} {after} {prose(66, 60)}"
+    assert kept[3] == f"{prose(67, 60)} {prose(68, 60)}"
+    assert kept[4] == f"{prose(69, 60)} {'one two three ' * 17}one {prose(70, 60)}"
+    assert kept[5] == f"{prose(71, 60)} {prose(72, 60)}"
+    assert places([row(i, t) for i, t in kept.items()], 50) == {}
+
+
 def test_empty_table(spark):
     assert suffixes.repeated_passages(no_documents(spark)).collect() == []
     assert suffixes.without_repeats(no_documents(spark)).collect() == []

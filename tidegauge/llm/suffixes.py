@@ -233,15 +233,22 @@ def repeated_passages(documents: DataFrame, text: str = "text", id_column: str =
 def cut_text(text: str, starts: np.ndarray, firsts: np.ndarray, min_words: int) -> str:
     """The text without the words of repeated windows that are no first place.
 
-    A word that a first window covers stays. White space behind a removed word goes with it.
+    A word goes if any such window covers it, even where a first window covers it too: its
+    own first place lies earlier. Where a window overlaps the one before with the same words
+    (a loop), only what it adds at its end goes, so that the first place of a loop stays whole.
+    White space behind a removed word goes with it.
     """
     data = text.encode()
     begin, end = word_bounds(np.frombuffer(data, np.uint8))
-    drop, keep = np.zeros(len(begin) + 1, np.int64), np.zeros(len(begin) + 1, np.int64)
-    for marks, at in ((drop, np.setdiff1d(starts, firsts)), (keep, firsts)):
-        np.add.at(marks, at, 1)
-        np.add.at(marks, at + min_words, -1)
-    gone = (np.cumsum(drop)[:-1] > 0) & (np.cumsum(keep)[:-1] == 0)
+    late = np.setdiff1d(starts, firsts)
+    keys = window_hashes(word_hashes(np.frombuffer(data, np.uint8), begin, end), min_words)
+    places = np.union1d(starts, firsts)
+    order = places[np.lexsort((places, keys[places]))]
+    loops = order[1:][(keys[order[1:]] == keys[order[:-1]]) & (np.diff(order) < min_words)]
+    drop = np.zeros(len(begin) + 1, np.int64)
+    np.add.at(drop, np.where(np.isin(late, loops), late + min_words - 1, late), 1)
+    np.add.at(drop, late + min_words, -1)
+    gone = np.cumsum(drop)[:-1] > 0
     if not gone.any():
         return text
     following = np.r_[begin[1:], len(data)]
@@ -257,7 +264,8 @@ def cut_text(text: str, starts: np.ndarray, firsts: np.ndarray, min_words: int)
 def without_repeats(documents: DataFrame, text: str = "text", id_column: str = "doc_id", min_words: int = MIN_WORDS, gap: int = GAP) -> DataFrame:
     """The documents, each repeated passage left only at its first place.
 
-    All columns stay; ``text`` is cut. A document of which nothing is left goes; one that
+    Passages are those of the texts as they come in: what stands before and behind a cut meets
+    there, and words across such a seam are not looked at again. All columns stay; ``text`` is cut. A document of which nothing is left goes; one that
     had no words before stays.
     """
     found = stored(repeated_windows(documents, text, id_column, min_words, gap), "repeats")
