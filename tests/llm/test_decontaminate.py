@@ -55,6 +55,13 @@ def test_passages_at_every_offset(spark, size):
     assert found_in(spark, rows, items) == sorted((10 * i + k, i, True) for i in range(5) for k in range(5))
 
 
+@pytest.mark.parametrize("size", [8, 9, 10])
+def test_short_items_at_every_offset(spark, size):
+    items = [(i, prose(100 + i, size), "x") for i in range(3)]
+    rows = [row(10 * i + k, f"{prose(i, 20 + k)} {items[i][1]} {prose(50 + i, 9)}") for i in range(3) for k in range(5)]
+    assert found_in(spark, rows, items) == sorted((10 * i + k, i, True) for i in range(3) for k in range(5))
+
+
 def test_both_joins_agree(spark, monkeypatch):
     items = [(i, prose(100 + i, 30), "x") for i in range(4)]
     rows = [row(i, f"{prose(i, 25)} {items[i % 4][1]}") for i in range(30)]

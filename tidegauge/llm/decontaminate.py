@@ -8,10 +8,9 @@ with a place of a document; there the whole item is compared word by word, runs
 a question with other numbers or names is found while a text that fills the slots at
 random is not. An alignment whose slots disagree does not count.
 
-The document side takes every ``STRIDE``-th window and the benchmark side all, so any
-stretch of ``WINDOW + STRIDE - 1`` template words that a document shares with an item is
-aligned, if each window in it has ``LITERALS`` plain words. A document leaks an item if the aligned stretches hold ``least_share`` of the
-item's words.
+Both sides take all windows, so any stretch of ``WINDOW`` template words that a document
+shares with an item is aligned, if some window in it has ``LITERALS`` plain words. A document
+leaks an item if the aligned stretches hold ``least_share`` of the item's words.
 
 Defined results: null and empty texts neither leak nor are leaked; items under ``WINDOW``
 words, or without a window of ``LITERALS`` plain words, cannot be told from chance and take
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import stored
 
 WINDOW = 8
-STRIDE = 4
 LITERALS = 5
 LEAST_SHARE = 0.6
 # Item windows, of 40 bytes each, up to which they are sent to all executors.
@@ -67,14 +65,12 @@ def values(text: Column) -> Column:
     return F.regexp_extract_all(_plain(text), F.lit(_VALUES), F.lit(0))
 
 
-def _windows(words: Column, step: int) -> Column:
-    """Structs of position and hash of every ``step``-th window and the last one."""
+def _windows(words: Column) -> Column:
+    """Structs of position and hash of every window."""
     last = F.size(words) - WINDOW
-    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step))
-    if step > 1:
-        starts = F.when(last % step == 0, starts).otherwise(F.concat(starts, F.array(last)))
     found = F.transform(
-        starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, WINDOW)).alias("hash"))
+        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
+        lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, WINDOW)).alias("hash")),
     )
     return F.when(last >= 0, found).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
 
@@ -93,7 +89,7 @@ def items_of(benchmark: DataFrame, text: str, id_column: str) -> DataFrame:
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
-    at = F.explode(_windows(F.col("words"), 1)).alias("w")
+    at = F.explode(_windows(F.col("words"))).alias("w")
     rows = items.select("item_key", "words", F.size("words").alias("n_item"), at)
     literals = F.size(F.filter(F.slice("words", F.col("w.at") + 1, WINDOW), _is_literal))
     return rows.filter(literals >= LITERALS).select("item_key", "n_item", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
@@ -124,7 +120,7 @@ def leaks(
     marks = stored(_item_windows(items), "benchmark-windows")
     small = marks.count() <= BROADCAST_WINDOWS
     keyed = texts.select(*_keys(id_column, "text"), template(F.col("text")).alias("words"))
-    windows = keyed.select("key_", "crc_", F.explode(_windows(F.col("words"), STRIDE)).alias("w")).select(
+    windows = keyed.select("key_", "crc_", F.explode(_windows(F.col("words"))).alias("w")).select(
         "key_", "crc_", F.col("w.at").alias("doc_at"), F.col("w.hash").alias("hash")
     )
     hits = windows.join(F.broadcast(marks) if small else marks, "hash").select(
