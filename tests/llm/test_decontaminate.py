@@ -55,6 +55,20 @@ def test_passages_at_every_offset(spark, size):
     assert found_in(spark, rows, items) == sorted((10 * i + k, i, True) for i in range(5) for k in range(5))
 
 
+def test_values_that_coincide_and_edited_slots(spark):
+    same = QUESTION.replace("12", "4").replace("3 hours", "4 hours")
+    head, tail = "Alice " + " ".join(prose(30, 11).lower().split()), " ".join(prose(31, 30).lower().split())
+    long = f"{head} Alice {tail}"
+    items = [(1, QUESTION, "x"), (2, long, "x")]
+    rows = [
+        row(1, f"{prose(1, 30)} {same}"),
+        row(2, f"{prose(2, 30)} {head} Alicia {tail}"),
+        row(3, f"{prose(3, 30)} Bob {head[6:]} Carol {prose(4, 30).lower()}"),
+        row(4, MIXED),
+    ]
+    assert found_in(spark, rows, items) == [(1, 1, False), (2, 2, False)]
+
+
 @pytest.mark.parametrize("size", [8, 9, 10])
 def test_short_items_at_every_offset(spark, size):
     items = [(i, prose(100 + i, size), "x") for i in range(3)]

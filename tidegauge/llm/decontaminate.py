@@ -4,9 +4,11 @@ Numbers, units behind numbers, and capitalised words (names) of a text become ty
 placeholders; what is left are lower-case words. Windows of the documents' templates are
 joined by hash with those of the benchmark's items. A match names an alignment of an item
 with a place of a document; there the whole item is compared word by word, runs of
-``WINDOW`` equal words count, and the values in their slots must correspond one to one, so
-a question with other numbers or names is found while a text that fills the slots at
-random is not. An alignment whose slots disagree does not count.
+``WINDOW`` equal words count, and each value of the item must stand for one value of the
+document, so a question with other numbers or names is found, also where new values
+coincide. The words of a slot whose item value stands for several values here break the
+runs, unless they are as in the item: what is verbatim counts whatever else is edited,
+while a text that fills the slots at random falls apart.
 
 Both sides take all windows, so any stretch of ``WINDOW`` template words that a document
 shares with an item is aligned, if some window in it has ``LITERALS`` plain words. A document
@@ -95,6 +97,12 @@ def _item_windows(items: DataFrame) -> DataFrame:
     return rows.filter(literals >= LITERALS).select("item_key", "n_item", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"))
 
 
+def _long_runs(at: Column) -> Column:
+    """Of sorted positions those in runs of ``WINDOW`` or more."""
+    starts = F.filter(at, lambda p, i: F.get(at, i + WINDOW - 1) == p + WINDOW - 1)
+    return F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + WINDOW - 1))))
+
+
 def _keys(id_column: str, text: str) -> list[Column]:
     """What tells rows apart: two non-null hashes of id and text."""
     return [F.xxhash64(id_column, text).alias("key_"), F.crc32(F.col(text).cast("binary")).alias("crc_")]
@@ -173,15 +181,21 @@ def leaks(
     )
     key = [id_column, "key_", "crc_", "item_id", "item_key"]
     rows = marked.select(*key, "shift", F.size("item_words").alias("n_item"), F.explode(agreeing).alias("x"))
-    slot = F.when(~_is_literal(F.col("x.word")), F.struct("x.word", "x.theirs", "x.ours"))
-    alignments = rows.groupBy(*key, "n_item", "shift").agg(
-        F.collect_set("x.at").alias("at"), F.collect_set(slot).alias("slots")
+    alignments = rows.groupBy(*key, "n_item", "shift").agg(F.sort_array(F.collect_set("x")).alias("agreeing"))
+    slot = lambda x: F.struct(x["word"].alias("word"), x["theirs"].alias("theirs"), x["ours"].alias("ours"))
+    in_slots = F.filter("agreeing", lambda x: ~_is_literal(x["word"]))
+    alignments = alignments.withColumn("slots", F.array_distinct(F.transform(in_slots, slot)))
+    # Words in slots whose item value stands for several values here, unless they are as in the item.
+    torn = lambda x: (x["theirs"] != x["ours"]) & F.exists(
+        "slots", lambda s: (s["word"] == x["word"]) & (s["theirs"] == x["theirs"]) & (s["ours"] != x["ours"])
     )
-    distinct = lambda field: F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["word"], s[field]))))
-    sound = alignments.filter((distinct("theirs") == F.size("slots")) & (distinct("ours") == F.size("slots")))
-    judged = sound.groupBy(*key, "n_item").agg(
+    sound = F.filter("agreeing", lambda x: _is_literal(x["word"]) | ~torn(x))
+    counted = _long_runs(F.transform(sound, lambda x: x["at"]))
+    alignments = alignments.withColumn("at", counted).filter(F.size("at") > 0)
+    in_runs = F.filter("agreeing", lambda x: ~_is_literal(x["word"]) & F.array_contains("at", x["at"]))
+    judged = alignments.groupBy(*key, "n_item").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("found"),
-        F.max(F.size("slots")).alias("n_slots"),
+        F.max(F.size(F.array_distinct(F.transform(in_runs, slot)))).alias("n_slots"),
         F.max(F.forall("slots", lambda s: s["theirs"] == s["ours"])).alias("verbatim"),
     )
     share = F.col("found") / F.col("n_item")
