@@ -13,6 +13,7 @@ from tidegauge.llm.bpecount import count_tokens
 from tidegauge.llm.common import table
 from tidegauge.llm.covertree import top_inner_products
 from tidegauge.llm.decontaminate import leaks
+from tidegauge.llm.exactdups import exact_duplicates
 from tidegauge.llm.langid import identify
 from tidegauge.llm.linkgraph import judge_urls
 from tidegauge.llm.shards import shuffle_into_shards
@@ -146,3 +147,18 @@ def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(ids.cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query(
+    r"""
+    WITH n AS (
+      SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+    )
+    SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+      doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+    FROM n WINDOW w AS (PARTITION BY t)
+    """
+)
+def op13_salted_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_duplicates(table(spark, folder, "documents"))
+    return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
