@@ -14,6 +14,7 @@ from tidegauge.llm.common import table
 from tidegauge.llm.covertree import top_inner_products
 from tidegauge.llm.decontaminate import leaks
 from tidegauge.llm.exactdups import exact_duplicates
+from tidegauge.llm.filteraudit import audit, part_counters
 from tidegauge.llm.langid import identify
 from tidegauge.llm.linkgraph import judge_urls
 from tidegauge.llm.shards import shuffle_into_shards
@@ -162,3 +163,64 @@ def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 def op13_salted_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_duplicates(table(spark, folder, "documents"))
     return found.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
+
+
+@query(
+    r"""
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part FROM documents
+    ), w AS (
+      SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+        min(doc_id) OVER (PARTITION BY t) AS least FROM d
+    ), l AS (
+      SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+    ), f AS (
+      SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, {
+          'A': len(words) < 200,
+          'B': 100 * len(list_distinct(words)) < 50 * len(words),
+          'C': 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t),
+          'D': regexp_matches(t, '[#$%&*|]'),
+          'E': least IS NOT NULL AND (w.doc_id IS NULL OR w.doc_id > least)
+        } AS s
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id
+    ), m AS (
+      SELECT part, concat(CASE WHEN s.A THEN 'A' ELSE '' END, CASE WHEN s.B THEN 'B' ELSE '' END,
+        CASE WHEN s.C THEN 'C' ELSE '' END, CASE WHEN s.D THEN 'D' ELSE '' END, CASE WHEN s.E THEN 'E' ELSE '' END) AS fails,
+        count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+      FROM f GROUP BY ALL
+    ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+      SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order
+      FROM letters a, letters b, letters c, letters d, letters e
+      WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+    ), steps AS (
+      SELECT filter_order, CAST(step AS INT) AS step, filter_order[step] AS own, left(filter_order, step - 1) AS earlier
+      FROM orders, range(1, 6) r(step)
+    ), firsts AS (
+      SELECT fails, x, count(*) AS times FROM (
+        SELECT fails, filter_order, list_filter(list_transform(range(1, 6), lambda i: filter_order[i]),
+          lambda c: contains(fails, c))[1] AS x
+        FROM (SELECT DISTINCT fails FROM m), orders
+      ) GROUP BY ALL
+    ), shapley AS (
+      SELECT part, x, sum(n * times) AS shapley FROM m JOIN firsts USING (fails) WHERE x IS NOT NULL GROUP BY ALL
+    ), marked AS (
+      SELECT m.*, s.*, contains(fails, own) AS hit,
+        len(list_filter(string_split(fails, ''), lambda c: c <> '' AND contains(earlier, c))) > 0 AS before
+      FROM m, steps s
+    )
+    SELECT marked.part, filter_order, step,
+      CAST(coalesce(sum(n) FILTER (NOT hit AND NOT before), 0) AS BIGINT) AS kept,
+      CAST(coalesce(sum(n) FILTER (hit AND NOT before), 0) AS BIGINT) AS removed,
+      CAST(coalesce(sum(n) FILTER (hit AND before), 0) AS BIGINT) AS redundant,
+      CAST(coalesce(sum(n) FILTER (fails = own), 0) AS BIGINT) AS unique_fails,
+      CAST(coalesce(sum(good) FILTER (hit AND NOT before), 0) AS BIGINT) AS good_lost,
+      CAST(coalesce(sum(toxic) FILTER (hit AND NOT before), 0) AS BIGINT) AS toxic_lost,
+      CAST(coalesce(max(shapley.shapley), 0) AS BIGINT) AS shapley
+    FROM marked LEFT JOIN shapley ON marked.part = shapley.part AND shapley.x = own
+    GROUP BY marked.part, filter_order, step
+    """
+)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    labels = table(spark, folder, "labels")
+    return audit(part_counters(spark, f"{str(folder).rstrip('/')}/documents.parquet", labels))
