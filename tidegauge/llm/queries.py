@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.llm.alignment import align
 from tidegauge.llm.bpecodec import encode
 from tidegauge.llm.bpecount import count_tokens
 from tidegauge.llm.common import table
@@ -150,6 +151,13 @@ def op10_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query()
+def op11_spill_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned, _ = align(table(spark, folder, "documents"), a, b, hashed=True)
+    return aligned
+
+
 @query(
     r"""
     WITH n AS (
