@@ -1,6 +1,7 @@
 """Leaks against a plain alignment of templates."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import SCHEMA, no_documents, odd_documents, prose, row
 from tidegauge.llm import decontaminate
@@ -93,3 +94,11 @@ def test_odd_documents(spark):
     assert decontaminate.leaks(no_documents(spark), items).collect() == []
     assert decontaminate.leaks(documents, spark.createDataFrame([], ITEMS)).collect() == []
     assert decontaminate.without_leaks(documents, spark.createDataFrame([], ITEMS)).count() == 20
+
+
+def test_long_lists_of_numbers(spark):
+    lists = [mark.join(["1", "22"] * 50_000) for mark in (",", ".", ", ", " km ", "1")]
+    rows = [row(i, text) for i, text in enumerate(lists)] + [row(9, lists[0] + " " + QUESTION)]
+    assert found_in(spark, rows, [(1, QUESTION, "x"), (2, lists[0], "x")]) == [(9, 1, True)]
+    words = spark.createDataFrame(rows, SCHEMA).select(decontaminate.template(F.col("text")).alias("w"), decontaminate.values(F.col("text")).alias("v"))
+    assert all(len(r["w"]) == len(r["v"]) for r in words.collect())

@@ -44,6 +44,31 @@ def test_language_without_labels(spark):
     assert langid.identify(no_documents(spark)).collect() == []
 
 
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TEXTS", 300)
+    alphabets = [chr(first) for first in range(0x4E00, 0x4E00 + 80 * 64, 64)]
+    rows = [row(i, " ".join(chr(ord(alphabets[i % 80]) + (i * k) % 60) for k in range(1, 40)), f"l{i % 80}") for i in range(800)]
+    network = langid.learn(spark.createDataFrame(rows, SCHEMA))
+    assert network.languages == sorted({f"l{i}" for i in range(80)})
+
+
+def test_gradient_equals_differences():
+    """The price's part of the fit: its minimum has no slope in any direction."""
+    draw = np.random.default_rng(2)
+    x, y = draw.integers(0, 2, (60, 5)).astype(float), draw.integers(0, 2, 60).astype(float)
+    d = draw.normal(size=(30, 5))
+    weights, offset = toxicity.fit(x, y, d.T @ d / 30, y.mean())
+
+    def loss(w, b):
+        z = x @ w + b
+        price = toxicity.RIDGE * w @ w + toxicity.SWAP_PRICE * ((d @ w) ** 2).mean()
+        return np.mean(np.log1p(np.exp(z)) - y * z) + (price + 1e-6 * b * b) / 20
+
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-4
+        assert abs(loss(weights + step, offset) - loss(weights - step, offset)) / 2e-4 < 1e-5
+
+
 def test_reader_equals_network():
     network = langid.Network.new(["a", "b", "c"], 1)
     text = np.random.default_rng(0).integers(0, 256, 1500, dtype=np.uint8).tobytes()
@@ -92,6 +117,12 @@ def test_swaps_exchange_terms_of_a_group():
     assert [len(a) == len(b) and a != b for a, b in pairs] == [True, True]
     assert set(pairs[0][0]) - set(pairs[0][1]) == {"women"}
     assert toxicity.swaps_of(" ..\n") == []
+    late = "It rained. " * 50 + "Women came. " * 3 + "It rained. " * 50 + "A man left."
+    pairs = toxicity.swaps_of(late)
+    assert [sorted(set(a) & {"women", "man"}) for a, _ in pairs] == [["women"]] * 3 + [["man"]]
+    plain = toxicity.swaps_of(". ".join(f"w{'x' * i} was here" for i in range(100)))
+    assert len(plain) == toxicity.SWAPS_PER_TEXT
+    assert [b[0] for _, b in plain] == [f"w{'x' * i}" for i in (0, 25, 50, 75)]
 
 
 def test_toxicity_of_odd_documents(spark):

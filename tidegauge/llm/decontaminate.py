@@ -43,8 +43,11 @@ UNITS = (
 
 NUMBER_MARK, UNIT_MARK, NAME_MARK = "\ue001", "\ue002", "\ue003"
 MARKS = NUMBER_MARK + UNIT_MARK + NAME_MARK
-_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
-_UNIT = rf"({_NUMBER})\s*(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
+# Possessive: the groups of a number are never given back, and a list of numbers as long as a
+# text costs the matcher no stack.
+_NUMBER = r"\p{N}++(?:[.,]\p{N}++)*+"
+# Looked for from the start of a number only, so that a list is read once.
+_UNIT = rf"(?<!\p{{N}})(?<!\p{{N}}[.,])({_NUMBER})\s*(?i:{'|'.join(UNITS)})(?![\p{{L}}\p{{M}}])"
 _NAME = r"(?<![\p{L}\p{M}])\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])"
 _WORDS = rf"[\p{{L}}\p{{M}}]+|[{MARKS}]"
 _VALUES = rf"{_NUMBER}|[\p{{L}}\p{{M}}]+"

@@ -6,7 +6,8 @@ kept, and a softmax layer turns these into probabilities; a text's are the mean
 of its windows. Training is plain numpy on the driver, on a bounded sample.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is
-every text if there is nothing to learn from. Rows without doc_id are not learned from
+every text if there is nothing to learn from. Every language that is labelled is learned;
+of equally likely ones the first in the alphabet counts. Rows without doc_id are not learned from
 and not held out. Equal texts count once in the sample. Any other column is ignored.
 """
 
@@ -27,11 +28,11 @@ UNDETERMINED = "und"
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-# The sample: so many distinct texts of each language, so many windows of each text, and
-# so many languages, the most frequent ones.
+# The sample: so many distinct texts of each language, and so many windows of each text. All
+# languages share ``TEXTS``, so that many languages have fewer texts each.
 TEXTS_PER_LANGUAGE = 1500
 WINDOWS_PER_TEXT = 4
-MAX_LANGUAGES = 64
+TEXTS = 96_000
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
@@ -172,13 +173,13 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", id_colum
     usable = documents.filter(
         F.col(text).isNotNull() & F.col(lang).isNotNull() & lettered(F.col(text)) & (crc32_of(F.col(id_column)) % 3 != 1)
     ).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(text).alias("key"), F.col(text).cast("string").alias("text"))
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    languages = sorted(row["lang"] for row in common.collect())
+    languages = sorted(row["lang"] for row in usable.select("lang").distinct().collect())
     if not languages:
         return None
-    most = least_keys(usable.filter(F.col("lang").isin(languages)), "lang", "key", TEXTS_PER_LANGUAGE)
-    bound = F.create_map(*(F.lit(x) for item in most.items() for x in item))
-    chosen = usable.filter(F.col("key") <= bound[F.col("lang")])
+    most = least_keys(usable, "lang", "key", min(TEXTS_PER_LANGUAGE, max(1, TEXTS // len(languages))))
+    bounds = documents.sparkSession.createDataFrame([*most.items()], "lang string, most long")
+    # One row for each language, and as many classes in the network.
+    chosen = usable.join(F.broadcast(bounds), "lang").filter("key <= most").select("lang", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +194,7 @@ def learn(documents: DataFrame, text: str = "text", lang: str = "lang", id_colum
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "key", "windows"])
 
     cut = chosen.mapInArrow(run, "lang string, key long, windows binary")
-    # At most languages x texts x windows rows of fixed size reach the driver.
+    # At most ``TEXTS`` rows (or one a language) of windows of fixed size reach the driver.
     rows = cut.groupBy("lang", "key").agg(F.min("windows").alias("windows")).collect()
     rows.sort(key=lambda row: (row["lang"], row["key"]))
     blocks = [np.frombuffer(bytes(row["windows"]), np.uint8).reshape(-1, WINDOW) for row in rows]

@@ -45,7 +45,8 @@ IDENTITY_GROUPS = (
 )
 
 # The sample: distinct texts of each label; chosen features and the least size of their
-# association with the label, in standard errors of a difference of shares.
+# association with the label, in standard errors of a difference of shares; least number
+# of counterfactuals of a text, where it has so many sentences.
 TOXIC_TEXTS = 1500
 OTHER_TEXTS = 3000
 FEATURES = 600
@@ -73,12 +74,17 @@ def features_of(words: Iterable[str]) -> set[str]:
 
 
 def swaps_of(text: str) -> list[tuple[list[str], list[str]]]:
-    """Words of sentences and of their counterfactuals."""
+    """Words of sentences and of their counterfactuals.
+
+    Every sentence of the text that mentions a group has one; sentences without a mention,
+    spread over the whole text, fill up to ``SWAPS_PER_TEXT``.
+    """
+    sentences = [(at, words) for at, part in enumerate(_SENTENCE.split(text.lower())) if (words := _WORD.findall(part))]
+    naming = [x for x in sentences if not _GROUP_OF.keys().isdisjoint(x[1])]
+    others = [x for x in sentences if _GROUP_OF.keys().isdisjoint(x[1])]
+    some = min(len(others), max(0, SWAPS_PER_TEXT - len(naming)))
     pairs = []
-    for at, sentence in enumerate(_SENTENCE.split(text.lower())):
-        words = _WORD.findall(sentence)
-        if not words:
-            continue
+    for at, words in naming + [others[i * len(others) // some] for i in range(some)]:
         here = [i for i, word in enumerate(words) if word in _GROUP_OF]
         if not here:
             # No group is mentioned: a term of some group, in turn, stands for a word.
@@ -90,8 +96,6 @@ def swaps_of(text: str) -> list[tuple[list[str], list[str]]]:
             group = _GROUP_OF[words[i]]
             other[i] = group[(group.index(words[i]) + 1 + at % (len(group) - 1)) % len(group)]
         pairs.append((words, other))
-        if len(pairs) == SWAPS_PER_TEXT:
-            break
     return pairs
 
 
@@ -108,15 +112,14 @@ class Classifier:
 def fit(x: np.ndarray, y: np.ndarray, differences: np.ndarray, share: float) -> tuple[np.ndarray, float]:
     """Newton's method on log loss, ridge and the price of swap differences.
 
-    ``share`` is the part of toxic texts among all labelled ones; the offset is set for
+    ``differences`` is the mean of their products, feature by feature; ``share`` is the part of toxic texts among all labelled ones; the offset is set for
     it, as the sample holds the labels in other parts.
     """
     rows = np.c_[x, np.ones(len(x))]
     weight = np.zeros(rows.shape[1])
     price = np.zeros((len(weight), len(weight)))
     price[:-1, :-1] = RIDGE * np.eye(x.shape[1])
-    if len(differences):
-        price[:-1, :-1] += SWAP_PRICE * differences.T @ differences / len(differences)
+    price[:-1, :-1] += SWAP_PRICE * differences
     price[-1, -1] = 1e-6
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(rows @ weight, -30, 30)))
@@ -204,16 +207,17 @@ def learn(documents: DataFrame, labels: DataFrame, text: str = "text", id_column
     # One row of indices for each text of the bounded sample.
     rows = sample.orderBy("key").select("toxic", "text").mapInArrow(run, schema).collect()
     x = np.zeros((len(rows), len(features)), np.float64)
-    differences = np.zeros((sum(len(row["swaps"]) for row in rows), len(features)), np.float32)
-    at = 0
+    # Sums of products, so that texts with many mentions cost no memory.
+    products, swaps = np.zeros((len(features), len(features))), 0
     for i, row in enumerate(rows):
         x[i, row["present"]] = 1
         for swap in row["swaps"]:
-            differences[at, [k for k in swap if k >= 0]] += 1
-            differences[at, [-1 - k for k in swap if k < 0]] -= 1
-            at += 1
+            at = [k if k >= 0 else -1 - k for k in swap]
+            sign = np.array([1.0 if k >= 0 else -1.0 for k in swap])
+            products[np.ix_(at, at)] += np.outer(sign, sign)
+            swaps += 1
     y = np.array([row["toxic"] for row in rows], np.float64)
-    return Classifier(features, *fit(x, y, differences, share))
+    return Classifier(features, *fit(x, y, products / max(1, swaps), share))
 
 
 def with_score(documents: DataFrame, model: Classifier, text: str = "text", id_column: str = "doc_id") -> DataFrame:
