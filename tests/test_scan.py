@@ -104,3 +104,12 @@ def test_summary_and_groups(docs, monkeypatch):
 def test_rules_from_rows():
     rules = rules_from([{"pattern": "a"}, {"pattern": "b", "description": "B", "exceptions": ["x"]}])
     assert rules == [ScanRule("a", "Unnamed rule", ()), ScanRule("b", "B", ("x",))]
+
+
+def test_rules_with_references_keep_their_groups(spark):
+    frame = spark.createDataFrame([(1, "AA zzqq zz"), (2, "zzzz"), (3, "xbb"), (4, "no")], "doc_id int, text string")
+    rules = [ScanRule(r"(a|b)\1", "one"), ScanRule(r"(zz|qq)\1", "two"), ScanRule(r"(?P<x_y>no|b)", "three"), ScanRule(r"(?P<x_y>z)(?P=x_y)", "four")]
+    together = _hits(scan_documents(frame, "text", rules))
+    assert together == sorted(h for r in rules for h in _hits(scan_documents(frame, "text", [r])))
+    assert [h[0] for h in together if h[3] == "one"] == [1, 3] and [h[0] for h in together if h[3] == "two"] == [2]
+    assert len([h for h in together if h[3] == "four"]) == 4

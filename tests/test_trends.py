@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from tidegauge.functions.dates import months_between_inclusive
 from tidegauge.operators import quality
 from tidegauge.operators.events import event_rates
-from tidegauge.operators.taxonomy import Term, bridge, pattern_failures
+from tidegauge.functions.regex import re2_match
+from tidegauge.operators.taxonomy import Term, bridge, pattern_failures, tag_taxonomy
 from tidegauge.operators.trends import (
     SPINE_START,
     month_spine,
@@ -253,3 +254,44 @@ def test_months_to_marts(spark, tmp_path):
     assert {r.check_name for r in check_marts(broken, bronze, as_of, start).filter("violations > 0").collect()} == {
         "trends_keys_known"
     }
+
+
+WORD_TERMS = [
+    Term("go", "Go", "c", r"\b(go\s+programming|go)\b"),
+    Term("node", "Node", "c", r"\b(node\.js|nodejs)\b"),
+    Term("sharp", "Sharp", "c", r"\b(c#|c-sharp)"),
+    Term("ki", "Ki", "c", r"\b(ski|kiss)\b"),
+    Term("part", "Part", "c", r"(script)"),
+    Term("end", "End", "c", r"(ing)\b"),
+    Term("dash", "Dash", "c", r"\bgo-(to|on)\b"),
+    Term("two", "Two", "c", r"\b(go|node)\b"),
+    Term("wild", "Wild", "c", r"\b(n.de|g+o)\b"),
+]
+WORD_TEXTS = [
+    "Go programming", "gopher", "NODE.JS", "nodeXjs nodejs", "c#", "C-Sharp x", "xc#", "\u017fki KISS", "go-to go-on",
+    "javascript", "testing", "ing", "ego", "go", "éGo é", "node", "gooo nide", "", None, "go_on", "go.", "K\u0131ss k\u0130ss",
+]
+
+
+@pytest.mark.parametrize("indexed", [1, 10**9])
+def test_terms_by_word_as_one_by_one(spark, monkeypatch, indexed):
+    monkeypatch.setattr("tidegauge.operators.taxonomy.INDEXED_FROM", indexed)
+    frame = spark.createDataFrame(list(enumerate(WORD_TEXTS)), "id int, text string")
+    found = tag_taxonomy(frame, WORD_TERMS, "text", ["id"], rows_unique=True).collect()
+    expected = []
+    for t in WORD_TERMS:
+        rows = frame.filter(re2_match("text", t.pattern)).select("id").collect()
+        expected += [(r["id"], t.key) for r in rows]
+    assert sorted((r["id"], r["tech_key"]) for r in found) == sorted(expected)
+
+
+def test_many_terms_counted_by_pair(spark, monkeypatch):
+    rows = [(i, text, dt.datetime(2024, 1 + i % 3, 1)) for i, text in enumerate(WORD_TEXTS)]
+    frame = spark.createDataFrame(rows, "id int, text string, at timestamp")
+    build = lambda: trends_from_text(frame, WORD_TERMS, "at", "text", dt.date(2023, 12, 1), dt.date(2024, 5, 1))
+    plain = build()
+    monkeypatch.setattr("tidegauge.operators.trends.COUNTED_BY_PAIR", 1)
+    monkeypatch.setattr("tidegauge.operators.taxonomy.INDEXED_FROM", 1)
+    by_pair = build()
+    assert [(f.name, f.dataType) for f in by_pair.schema] == [(f.name, f.dataType) for f in plain.schema]
+    assert sorted(map(str, by_pair.collect())) == sorted(map(str, plain.collect()))

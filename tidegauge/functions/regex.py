@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidegauge.functions.loops import possessive_loops
+
 _ASCII = {
     "word": "[A-Za-z0-9_]",
     "space": r"\t\n\f\r ",
@@ -24,6 +26,7 @@ _UNICODE = {
     "space": r"\t\n\x0B\f\r\x1C-\x1F\x85\p{Z} ",
     "end": r"(?=\n?\z)",
 }
+_NAMED = re.compile(r"\(\?P?<([A-Za-z_][A-Za-z0-9_]*)>|\(\?P=([A-Za-z0-9_]+)\)")
 _POSIX = re.compile(r"\[:(\^?)([a-z]+):\]")
 _POSIX_CLASSES = {
     "alpha": "A-Za-z",
@@ -45,7 +48,20 @@ _NEUTRAL = "\ue000\ue001"
 
 
 def java_pattern(pattern: str, *, unicode_words: bool = False, ignore_case: bool = True) -> str:
-    """Rewrite an RE2 (or, with ``unicode_words``, Python) pattern for Spark."""
+    """Rewrite an RE2 (or, with ``unicode_words``, Python) pattern for Spark.
+
+    Loops that the next character decides take neither stack nor backtracking; a pattern
+    whose nested loops are ambiguous is an error (see ``possessive_loops``).
+    """
+    return _rewritten(possessive_loops(pattern), unicode_words, ignore_case)
+
+
+def _group_name(name: str) -> str:
+    """java.util.regex takes no underscore in the name of a group."""
+    return name.replace("_", "U95")
+
+
+def _rewritten(pattern: str, unicode_words: bool = False, ignore_case: bool = True) -> str:
     kind = _UNICODE if unicode_words else _ASCII
     word = kind["word"]
     # (?-iu:...) keeps case folding out of the class: under (?iu) [A-Za-z] would
@@ -107,9 +123,10 @@ def java_pattern(pattern: str, *, unicode_words: bool = False, ignore_case: bool
         elif char == "$" and not multiline:
             out.append(kind["end"])
             position += 1
-        elif pattern.startswith("(?P<", position):
-            out.append("(?<")
-            position += 4
+        elif named := _NAMED.match(pattern, position):
+            name = _group_name(named[1] or named[2])
+            out.append(f"(?<{name}>" if named[1] else f"\\k<{name}>")
+            position = named.end()
         else:
             out.append(char)
             position += 1
@@ -178,6 +195,7 @@ def lower_case_pattern(pattern: str, *, unicode_words: bool = False) -> str:
     ``\\b(word|other)\\b`` both do. The first letters go ahead of everything, as
     the cheapest test at a position where nothing matches.
     """
+    pattern = possessive_loops(pattern)
     group = _WORD_GROUP.fullmatch(pattern)
     if group:
         branches = group[1].split("|")
@@ -187,14 +205,14 @@ def lower_case_pattern(pattern: str, *, unicode_words: bool = False) -> str:
         )
         if plain:
             word = (_UNICODE if unicode_words else _ASCII)["word"]
-            body = java_pattern(group[1], unicode_words=unicode_words, ignore_case=False)
+            body = _rewritten(group[1], unicode_words, ignore_case=False)
             first = "".join(sorted({b[0] for b in branches}))
             return f"(?d)(?=[{first}])(?<!{word})(?:{body.removeprefix('(?d)')})(?!{word})"
     if _WORD_AHEAD.match(pattern):
         word = (_UNICODE if unicode_words else _ASCII)["word"]
-        rest = java_pattern(pattern[2:], unicode_words=unicode_words, ignore_case=False)
+        rest = _rewritten(pattern[2:], unicode_words, ignore_case=False)
         return f"(?d)(?<!{word}){rest.removeprefix('(?d)')}"
-    return java_pattern(pattern, unicode_words=unicode_words, ignore_case=False)
+    return _rewritten(pattern, unicode_words, ignore_case=False)
 
 
 def required_words(pattern: str) -> list[str] | None:
@@ -222,3 +240,41 @@ def contains_any(low: Column, words: list[str]) -> Column:
     for word in words[1:]:
         test = test | low.contains(word)
     return test
+
+
+_BOUNDED = re.compile(r"(\\b)?(?:\((?:\?:)?([^()]*)\)|([^()|]*?))(\\b)?")
+
+
+def whole_words(pattern: str) -> dict[str, bool] | None:
+    """Words of which a matching text has at least one, as a whole word, or ``None``.
+
+    The value says whether having the word is a match already, as it is a branch by itself.
+
+    A word counts where the branch itself, or a ``\\b`` at its end, bounds it. Understands
+    alternations of literal text with ``\\s+`` and escaped marks; of each branch the
+    longest bounded word is taken.
+    """
+    found = _BOUNDED.fullmatch(pattern)
+    if not found:
+        return None
+    lead, grouped, plain, tail = found.groups()
+    words: dict[str, bool] = {}
+    for branch in (plain if grouped is None else grouped).split("|"):
+        text = re.sub(r"\\s\+|\\[^\w\s]", "\0", branch)
+        if not re.fullmatch(r"[A-Za-z0-9_ #/&,:;@%=\0-]+", text):
+            return None
+        bounded = [
+            w[0].lower()
+            for w in re.finditer("[A-Za-z0-9_]+", text)
+            if (w.start() > 0 or lead) and (w.end() < len(text) or tail)
+        ]
+        if not bounded:
+            return None
+        word = max(bounded, key=len)
+        words[word] = words.get(word, False) or word == text.lower()
+    return words
+
+
+def has_references(pattern: str) -> bool:
+    """Does the pattern name groups or refer back to them? Such a pattern stands alone."""
+    return re.search(r"\\[1-9]|\\k<|\(\?P?<[A-Za-z_]|\(\?P=", re.sub(r"\\\\", "", pattern)) is not None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.regex import (
     folds_oddly,
+    has_references,
     java_pattern,
     lower_case_pattern,
     matches_lower_case,
@@ -256,9 +257,12 @@ def _scan(
     for pattern in allow:
         normal = normal.filter(~norm.rlike(_general(pattern)))
     none = F.array().cast("array<struct<rule:string,match_text:string>>")
-    groups = []
-    for first in range(0, len(rules), RULES_PER_TEST):
-        some = rules[first : first + RULES_PER_TEST]
+    # Groups would change their numbers in a joined pattern, and names may clash there.
+    alone = [r for r in rules if has_references(r.pattern)]
+    joined = [r for r in rules if not has_references(r.pattern)]
+    groups = [_rule_hits(norm, line, r, name) for r in alone]
+    for first in range(0, len(joined), RULES_PER_TEST):
+        some = joined[first : first + RULES_PER_TEST]
         found = F.concat(*(_rule_hits(norm, line, r, name) for r in some))
         groups.append(F.when(_some_rule_matches(norm, some), found).otherwise(none))
     # All rules in one projection: the text is read and normalised once, however many.

@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from tidegauge.functions.regex import (
     contains_any,
     folds_oddly,
+    java_pattern,
     lower_case_pattern,
     matches_lower_case,
     re2_match,
+    re2_subject,
     required_words,
+    whole_words,
 )
+from tidegauge.functions.wordindex import WordIndex
 from tidegauge.session import spread
 
 # A taxonomy is part of the plan: patterns to try on every text. One beyond this is an error.
@@ -23,6 +27,9 @@ MAX_TERMS = 20_000
 # Patterns in one array of the projection, so that generated methods stay small.
 TERMS_PER_ARRAY = 50
 
+# From so many terms on, those with a whole word are found by it instead of one by one.
+INDEXED_FROM = 32
+
 _TEXT, _LOW, _ODD = "__text", "__low", "__odd"
 
 
@@ -77,6 +84,44 @@ def term_matches(term: Term) -> Column:
     return F.when(F.col(_ODD), general).otherwise(fast)
 
 
+def found_terms(terms: list[Term]) -> Column:
+    """Number in the list, key and category of all terms that match the prepared text.
+
+    Terms whose pattern needs a whole word are looked up by the words of the text, read
+    once for all of them, and only candidates are matched. The others are tried one by
+    one. Rows with letters that fold oddly meet all patterns.
+    """
+    def row(number: Column, key: Column, category: Column) -> Column:
+        return F.struct(number.alias("number"), key.alias("tech_key"), category.alias("tech_category"))
+
+    indexed = len(terms) >= INDEXED_FROM
+    words = [whole_words(t.pattern) if indexed and matches_lower_case(t.pattern) else None for t in terms]
+    by_word = [(i, t, w) for i, (t, w) in enumerate(zip(terms, words)) if w]
+    one_by_one = [(i, t) for i, (t, w) in enumerate(zip(terms, words)) if not w]
+    arrays = [F.array().cast("array<struct<number:int,tech_key:string,tech_category:string>>")]
+    if by_word:
+        entries = [
+            {
+                "number": str(i),
+                "key": t.key,
+                "category": t.category,
+                "fast": lower_case_pattern(t.pattern),
+                "general": java_pattern(t.pattern),
+            }
+            for i, t, _ in by_word
+        ]
+        index = WordIndex(entries, [w for *_, w in by_word])
+        plain = index.matching(F.col(_LOW), lambda t: F.rlike(F.col(_LOW), t["fast"]))
+        every = F.filter(index.entries, lambda t: F.rlike(re2_subject(F.col(_TEXT)), t["general"]))
+        found = F.when(F.col(_ODD), every).otherwise(plain)
+        arrays.append(F.transform(found, lambda t: row(t["number"].cast("int"), t["key"], t["category"])))
+    for first in range(0, len(one_by_one), TERMS_PER_ARRAY):
+        some = one_by_one[first : first + TERMS_PER_ARRAY]
+        tested = [F.when(term_matches(t), row(F.lit(i), F.lit(t.key), F.lit(t.category))) for i, t in some]
+        arrays.append(F.array_compact(F.array(*tested)))
+    return F.concat(*arrays)
+
+
 def tag_taxonomy(
     df: DataFrame,
     taxonomy: DataFrame | list[Term],
@@ -94,20 +139,9 @@ def tag_taxonomy(
     distinct; ``partitions`` spreads the rows first.
     """
     terms = plan_terms(taxonomy)
-    none = F.array().cast("array<struct<tech_key:string,tech_category:string>>")
-    arrays = [none]
-    for first in range(0, len(terms), TERMS_PER_ARRAY):
-        found = [
-            F.when(
-                term_matches(t),
-                F.struct(F.lit(t.key).alias("tech_key"), F.lit(t.category).alias("tech_category")),
-            )
-            for t in terms[first : first + TERMS_PER_ARRAY]
-        ]
-        arrays.append(F.array_compact(F.array(*found)))
     pairs = (
         prepare_text(df, text, keep, partitions)
-        .select(*keep, F.explode(F.concat(*arrays)).alias("__term"))
+        .select(*keep, F.explode(found_terms(terms)).alias("__term"))
         .select(*keep, "__term.tech_key", "__term.tech_category")
     )
     return pairs if rows_unique else pairs.distinct()

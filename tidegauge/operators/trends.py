@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +11,13 @@ from pyspark.sql.window import Window
 
 from tidegauge.functions.dates import in_months, month_of
 from tidegauge.functions.metrics import growth_pct, safe_share
-from tidegauge.operators.taxonomy import Term, plan_terms, prepare_text, term_matches
+from tidegauge.operators.taxonomy import Term, found_terms, plan_terms, prepare_text, term_matches
 
 # First month of the calendar spine and of the load partitions.
 SPINE_START = dt.date(2011, 6, 1)
 PARTITION_START = dt.date(2011, 4, 1)
+# From so many terms on, pairs of month and term are counted instead of one column a term.
+COUNTED_BY_PAIR = 100
 
 
 def _months(start: dt.date, end: dt.date):
@@ -128,6 +131,40 @@ def monthly_trends(
     )
 
 
+def _trends_by_pair(
+    in_range: DataFrame, terms: list[Term], timestamp: str, text: str, start: dt.date, end: dt.date, partitions: int | None
+) -> DataFrame:
+    """The mart from counts per month and number of a term; -1 stands for all rows."""
+    every = F.array(F.lit(-1))
+    # A null text has no terms; its row counts all the same.
+    found = F.coalesce(F.transform(found_terms(terms), lambda t: t["number"]), F.array().cast("array<int>"))
+    numbers = F.concat(every, found)
+    counts = (
+        prepare_text(in_range, text, [month_of(timestamp).alias("month")], partitions)
+        .select("month", F.explode(numbers).alias("number"))
+        .groupBy("month", "number")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    names = F.from_json(F.lit(json.dumps([[t.key, t.name] for t in terms])), "array<array<string>>")
+    cells = month_spine(in_range.sparkSession, start, end).select("month", F.explode(F.sequence(F.lit(-1), F.lit(len(terms) - 1))).alias("number"))
+    counted = cells.join(counts, ["month", "number"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    all_rows = F.max(F.when(F.col("number") < 0, F.col("rows"))).over(Window.partitionBy("month"))
+    mart = (
+        counted.withColumn("total_jobs", all_rows)
+        .filter("number >= 0")
+        .withColumn("term", F.get(names, F.col("number")))
+        .select(
+            "month",
+            F.get("term", 0).alias("tech_key"),
+            F.get("term", 1).alias("tech_name"),
+            F.col("rows").alias("mention_count"),
+            "total_jobs",
+            safe_share(F.col("rows"), F.col("total_jobs")).alias("pct_share"),
+        )
+    )
+    return with_growth(mart, "tech_key")
+
+
 def trends_from_text(
     records: DataFrame,
     taxonomy: DataFrame | list[Term],
@@ -140,12 +177,15 @@ def trends_from_text(
     """The trend mart straight from records with unique ids, in one pass over the text.
 
     Per month, one counter per term and one for all rows: tasks send a row per
-    month, and no bridge rows exist. ``partitions`` spreads the records first.
+    month, and no bridge rows exist. ``partitions`` spreads the records first. Many terms
+    are counted as pairs of month and term instead, of which tasks send sums as well.
     """
     spark, terms = records.sparkSession, plan_terms(taxonomy)
     if not terms:
         raise ValueError("trends need at least one term")
     in_range = records.filter(in_months(timestamp, records.schema[timestamp].dataType, start, end))
+    if len(terms) >= COUNTED_BY_PAIR:
+        return _trends_by_pair(in_range, terms, timestamp, text, start, end, partitions)
     counters = [F.count_if(term_matches(t)).alias(f"__n{i}") for i, t in enumerate(terms)]
     per_month = (
         prepare_text(in_range, text, [month_of(timestamp).alias("month")], partitions)

@@ -12,6 +12,7 @@ from tidegauge.functions.jsonfields import json_project
 from tidegauge.plans.registered.registry import query
 from tidegauge.session import work_path
 from tidegauge.sources.bronze import append_bronze, load_stats, read_bronze, to_payload
+from tidegauge.sources.ledger import backfill_months, commit_load, compact_loads, read_loads, read_months
 from tidegauge.sources.landing import read_landing, read_taxonomy, reject_bad_payloads
 from tidegauge.sources.tables import run_partitions, write_months, write_table
 
@@ -264,3 +265,52 @@ def months_rerun(t):
     )
     write_months(again.withColumn("run_no", F.lit(2)), path)
     return t.spark.read.parquet(path).select("month", "n_orders", "run_no")
+
+
+@query(
+    """
+    SELECT event_type AS load_id, TIMESTAMP '2024-02-01 00:00:00' AS ingested_at, count(*) AS n_rows,
+           sum(event_id) AS id_sum
+    FROM events GROUP BY event_type
+    """
+)
+def loads_by_ledger(t):
+    """Events committed load by load (types stand for loads), a retried and a replaced
+    load among them, then compacted."""
+    path = work_path(t.spark, "ledger")
+    types = [r[0] for r in t.events.select("event_type").distinct().orderBy("event_type").collect()]
+    for name in types:
+        own = event_payloads(t).filter(F.get_json_object("payload", "$.event_type") == name)
+        if name == types[0]:
+            commit_load(own.filter(F.get_json_object("payload", "$.event_id").cast("long") % 2 == 0), path, name, FIRST_STAMP)
+        commit_load(own, path, name, FIRST_STAMP, replace=name == types[0])
+    commit_load(own, path, types[-1], SECOND_STAMP)
+    compact_loads(t.spark, path)
+    rows = json_project(read_loads(t.spark, path), "payload", {"event_id": ("event_id", "bigint")}, keep=["load_id", "ingested_at"])
+    return rows.groupBy("load_id", F.col("ingested_at").cast("timestamp_ntz").alias("ingested_at")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("id_sum")
+    )
+
+
+@query(
+    """
+    SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, count(*) AS n_orders, max(o_orderkey) AS last_key
+    FROM orders
+    WHERE date_trunc('month', o_orderdate) BETWEEN DATE '1996-01-01' AND DATE '1996-06-01'
+      AND date_trunc('month', o_orderdate) <> DATE '1996-03-01'
+    GROUP BY 1
+    """
+)
+def months_by_ledger(t):
+    """A backfill whose third month fails: the others have landed; it goes on afterwards."""
+    path = work_path(t.spark, "month-ledger")
+    months = [dt.date(1996, m, 1) for m in range(1, 7)]
+
+    def counts(rows):
+        if not rows.filter("month = date'1996-03-01'").isEmpty():
+            raise ValueError("a month that cannot be transformed")
+        return rows.groupBy("month").agg(F.count(F.lit(1)).alias("n_orders"), F.max("o_orderkey").alias("last_key"))
+
+    for asked in (months[:4], months):
+        backfill_months(t.orders, "o_orderdate", asked, counts, path, dt.date(1998, 1, 1))
+    return read_months(t.spark, path, "month date, n_orders bigint, last_key bigint")

@@ -78,6 +78,27 @@ def rule_hits_original_case(t):
     return scan_documents(t.spread(t.documents.select("doc_id", "text")), "text", _WORD_RULES)
 
 
+# Back references and groups of equal names, and the same rules spelled out.
+_GROUP_RULES = [
+    ScanRule(r"([0-9])\1\1", "Digit three times"),
+    ScanRule(r"(?P<a_word>the|une|der|and) (?P=a_word)\b", "Word twice"),
+    ScanRule(r"(?P<a_word>[#%])(?P=a_word)+", "Mark repeated"),
+    ScanRule(r"([aeiou])\1", "Vowel twice"),
+]
+_SPELLED_OUT = [
+    ScanRule("|".join(str(d) * 3 for d in range(10)), "Digit three times"),
+    ScanRule("|".join(rf"{w} {w}\b" for w in ("the", "une", "der", "and")), "Word twice"),
+    ScanRule("##+|%%+", "Mark repeated"),
+    ScanRule("|".join(v * 2 for v in "aeiou"), "Vowel twice"),
+]
+
+
+@query(_hits_sql(LINES_SQL, _SPELLED_OUT))
+def rule_hits_with_groups(t):
+    """Rules that name groups or refer back to them, together in one scan."""
+    return scan_documents(t.spread(t.documents.select("doc_id", "text")), "text", _GROUP_RULES)
+
+
 @query(HITS_SQL)
 def rule_hits_by_line(t):
     """The same hits from lines split beforehand."""

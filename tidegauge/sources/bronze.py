@@ -22,6 +22,15 @@ def to_payload(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), _JSON_OPTIONS).alias("payload"))
 
 
+def micros_of(stamp: dt.datetime | None) -> int:
+    """Epoch micros of a stamp (now, if none): no driver time zone is involved; naive stamps are UTC."""
+    if stamp is None:
+        stamp = dt.datetime.now(dt.timezone.utc)
+    elif stamp.tzinfo is None:
+        stamp = stamp.replace(tzinfo=dt.timezone.utc)
+    return int(stamp.timestamp()) * 1_000_000 + stamp.microsecond
+
+
 def append_bronze(
     df: DataFrame,
     path: str,
@@ -33,21 +42,15 @@ def append_bronze(
 
     The whole batch carries one ``load_id`` and one UTC timestamp. How it becomes visible
     is the committer's affair: the default one renames file by file, so a reader at that
-    moment may see part of a load. A load may be appended in several
+    moment may see part of a load (``ledger.commit_load`` has none of that). A load may be appended in several
     batches; with ``replace_load`` the load's earlier rows are replaced instead,
     which makes a retried batch safe. The count comes from the write itself.
     """
     load_id = load_id or str(uuid.uuid4())
-    if ingested_at is None:
-        ingested_at = dt.datetime.now(dt.timezone.utc)
-    elif ingested_at.tzinfo is None:
-        ingested_at = ingested_at.replace(tzinfo=dt.timezone.utc)
     written = Observation()
-    # The stamp is passed as epoch micros: no driver time zone is involved.
-    micros = int(ingested_at.timestamp()) * 1_000_000 + ingested_at.microsecond
     rows = df.select(
         F.lit(load_id).alias("load_id"),
-        F.timestamp_micros(F.lit(micros)).alias("ingested_at"),
+        F.timestamp_micros(F.lit(micros_of(ingested_at))).alias("ingested_at"),
         F.col("payload").cast("string").alias("payload"),
     ).observe(written, F.count(F.lit(1)).alias("rows"))
     writer = rows.write.partitionBy("load_id")
