@@ -18,10 +18,13 @@ from tidegauge.llm.bpecodec import encode
 from tidegauge.llm.common import stored
 from tidegauge.llm.decontaminate import without_leaks
 from tidegauge.llm.langid import keep_identified
-from tidegauge.llm.similar import keep_one_of_similar
+from tidegauge.llm.simhash import keep_one_of_each
 from tidegauge.llm.suffixes import without_repeats
 from tidegauge.session import prepare
 
+# Operator 8's shingle length and greatest distance of fingerprints.
+NEAR_WORDS, NEAR_BITS = 3, 2
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network can tell (operator 7)."""
@@ -30,13 +33,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the least id.
+    """One document of each group of near duplicates, the one with the least id (operator 8).
 
-    Near means a similarity of 0.8 or more of 5-word shingles. Such texts differ in up to 11
-    bits of a SimHash, more than the trie of operator 8 can walk: there the pairs come from bands.
+    Near means fingerprints of 3-word shingles that differ in 2 bits or fewer; a group is all
+    that such links reach.
     """
     prepare(spark)
-    return keep_one_of_similar(docs)
+    return keep_one_of_each(docs, budget=NEAR_BITS, size=NEAR_WORDS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
