@@ -1,11 +1,13 @@
 """Fingerprints, the trie join and components against brute force."""
 
+import random
 import re
 
 import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from tests.llm.data import no_documents, odd_documents, odd_rows, prose, row, SCHEMA
 from tidegauge.llm import components, simhash
 
@@ -61,6 +63,35 @@ def test_one_of_each_stays(spark):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for c in named if c is not None})
 
 
+def edited(text, seed, edits):
+    draw, words = random.Random(seed), text.split()
+    for k in draw.sample(range(len(words)), edits):
+        words[k] = f"w{seed}x{k}"
+    return " ".join(words)
+
+
+def test_pipeline_stage_keeps_the_least_id_of_each_component(spark, sf_dir):
+    rows = []
+    for i in range(12):
+        base = prose(i, 600)
+        rows += [row(10 * i + 9, base)] + [row(10 * i + k, edited(base, 10 * i + k, edits)) for k, edits in enumerate((1, 1, 2, 6, 60))]
+    rows += [row(1000 + i, prose(500, 3) if i % 2 else "") for i in range(6)] + [row(2000, None)]
+    prints = [plain_fingerprint(r[1]) for r in rows]
+    want = sorted(set(plain_components([r[0] for r in rows], prints)))
+    kept = corpus_pipeline.simhash_near_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf_dir)
+    # Some copies join their base and some edited texts stay.
+    assert 15 < len(want) < len(rows) - 10
+    assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_pipeline_stage_on_odd_and_empty_tables(spark, sf_dir):
+    kept = corpus_pipeline.simhash_near_dedup(spark, odd_documents(spark), sf_dir)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == odd_documents(spark).columns and {1, 4, 5, 6, 13, 14, 17} <= set(ids)
+    assert not {2, 8, 9} & set(ids) and ids.count(15) == 1
+    assert corpus_pipeline.simhash_near_dedup(spark, no_documents(spark), sf_dir).collect() == []
+
+
 def test_many_near_copies_in_one_group(spark):
     base = prose(3, 400).split()
     rows = [row(i, " ".join(base[:200] + [f"w{i % 40}"] + base[200:])) for i in range(400)] + [row(1000 + i, prose(i, 50)) for i in range(50)]
