@@ -131,22 +131,12 @@ def monthly_trends(
     )
 
 
-def _trends_by_pair(
-    in_range: DataFrame, terms: list[Term], timestamp: str, text: str, start: dt.date, end: dt.date, partitions: int | None
+def mart_of_counts(
+    spark: SparkSession, counts: DataFrame, terms: list[Term], start: dt.date, end: dt.date
 ) -> DataFrame:
-    """The mart from counts per month and number of a term; -1 stands for all rows."""
-    every = F.array(F.lit(-1))
-    # A null text has no terms; its row counts all the same.
-    found = F.coalesce(F.transform(found_terms(terms), lambda t: t["number"]), F.array().cast("array<int>"))
-    numbers = F.concat(every, found)
-    counts = (
-        prepare_text(in_range, text, [month_of(timestamp).alias("month")], partitions)
-        .select("month", F.explode(numbers).alias("number"))
-        .groupBy("month", "number")
-        .agg(F.count(F.lit(1)).alias("rows"))
-    )
+    """The mart from ``rows`` per month and number of a term; number -1 stands for all rows."""
     names = F.from_json(F.lit(json.dumps([[t.key, t.name] for t in terms])), "array<array<string>>")
-    cells = month_spine(in_range.sparkSession, start, end).select("month", F.explode(F.sequence(F.lit(-1), F.lit(len(terms) - 1))).alias("number"))
+    cells = month_spine(spark, start, end).select("month", F.explode(F.sequence(F.lit(-1), F.lit(len(terms) - 1))).alias("number"))
     counted = cells.join(counts, ["month", "number"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     all_rows = F.max(F.when(F.col("number") < 0, F.col("rows"))).over(Window.partitionBy("month"))
     mart = (
@@ -165,6 +155,23 @@ def _trends_by_pair(
     return with_growth(mart, "tech_key")
 
 
+def _trends_by_pair(
+    in_range: DataFrame, terms: list[Term], timestamp: str, text: str, start: dt.date, end: dt.date, partitions: int | None
+) -> DataFrame:
+    """The mart from counts per month and number of a term; -1 stands for all rows."""
+    every = F.array(F.lit(-1))
+    # A null text has no terms; its row counts all the same.
+    found = F.coalesce(F.transform(found_terms(terms), lambda t: t["number"]), F.array().cast("array<int>"))
+    numbers = F.concat(every, found)
+    counts = (
+        prepare_text(in_range, text, [month_of(timestamp).alias("month")], partitions)
+        .select("month", F.explode(numbers).alias("number"))
+        .groupBy("month", "number")
+        .agg(F.count(F.lit(1)).alias("rows"))
+    )
+    return mart_of_counts(in_range.sparkSession, counts, terms, start, end)
+
+
 def trends_from_text(
     records: DataFrame,
     taxonomy: DataFrame | list[Term],

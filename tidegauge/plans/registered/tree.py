@@ -193,13 +193,15 @@ def thread_records_of_doubled_items(t):
     return _landed(items.unionByName(items.withColumn("by", F.lit(None).cast("string"))))
 
 
+# Stories that one user has submitted.
+STORIES = 16
+
 _INGEST_SQL = f"""
     WITH stories AS (
         SELECT conv_id * {TURNS} AS id, 2024 + conv_id % 2 AS year, conv_id % 12 + 1 AS month
         FROM conversations WHERE turn = 0
     ), asked AS (
-        SELECT year, month, min(id) AS id FROM stories
-        WHERE year = 2024 AND month IN (1, 3, 5) GROUP BY year, month
+        SELECT min(id) AS id FROM stories GROUP BY id // {TURNS} // {STORIES}, year, month
     )
     SELECT w.id, w.is_tombstone FROM ({_CLOSURE_SQL}) AS w WHERE w.root IN (SELECT id FROM asked)
 """
@@ -207,25 +209,22 @@ _INGEST_SQL = f"""
 
 @query(_INGEST_SQL)
 def ingest_roundtrip(t):
-    """Find three months' threads, walk them, land them whole and read the landing back.
-
-    First turns are stories titled by month; one user has submitted all of them."""
-    title = F.concat(
-        F.lit("Who is hiring? ("),
-        F.date_format(F.make_date(F.lit(2000), (F.col("conv_id") % 12 + 1).cast("int"), F.lit(1)), "MMMM"),
-        F.lit(" "),
-        (F.lit(2024) + F.col("conv_id") % 2).cast("string"),
-        F.lit(")"),
-    )
+    """Find each user's threads of all months, walk them, land them whole and read the landing back.
+
+    First turns are stories titled by month; a user has submitted 16 of them in a row, so
+    some months name two of a user's stories, of which the first counts."""
+    number = F.floor(F.col("id") / TURNS)
+    month = F.make_date(F.lit(2024) + (number % 2).cast("int"), (number % 12 + 1).cast("int"), F.lit(1))
+    title = F.concat(F.lit("Who is hiring? ("), F.date_format(month, "MMMM yyyy"), F.lit(")"))
     first = F.col("id") % TURNS == 0
-    items = turn_records(t).withColumn("conv_id", F.floor(F.col("id") / TURNS))
+    items = turn_records(t)
     items = items.withColumn("type", F.when(first, "story").otherwise("comment")).withColumn("title", F.when(first, title))
-    items = items.drop("conv_id")
-    stories = items.filter(first).select("id")
-    users = stories.groupBy(F.lit("poster").alias("id")).agg(F.sort_array(F.collect_list("id")).alias("submitted"))
+    stories = items.filter(first).select("id", month.alias("month"))
+    user = F.concat(F.lit("poster-"), F.floor(number / STORIES).cast("string"))
+    users = stories.groupBy(user.alias("id")).agg(F.sort_array(F.collect_list("id")).alias("submitted"))
     path = work_path(t.spark, "ingested")
-    months = [dt.date(2024, m, 1) for m in (1, 3, 5)]
-    ingest_months(users, items, months, path, dt.date(2025, 6, 1), "load", dt.datetime(2025, 6, 1))
+    months = [r["month"] for r in stories.select("month").distinct().orderBy("month").collect()]
+    ingest_months(users, items, months, path, dt.date(2026, 1, 1), "load", dt.datetime(2026, 1, 1))
     fields = {"id": ("id", "bigint"), "is_tombstone": ("is_tombstone", "boolean")}
     return json_project(read_bronze(t.spark, path), "payload", fields, keep=[])
 
@@ -272,10 +271,10 @@ def threads_by_month(t):
     """
     SELECT o_custkey, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
            arg_min(o_orderkey, (o_totalprice, o_orderkey)) AS o_orderkey
-    FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2
+    FROM orders GROUP BY 1, 2
     """
 )
 def first_match_by_position(t):
-    """Cheapest closed order of each customer and month: position is the price."""
-    closed = t.orders.filter("o_orderstatus = 'F'").withColumn("month", month_of("o_orderdate"))
-    return first_match(closed, ["o_custkey", "month"], "o_orderkey", ["o_totalprice", "o_orderkey"])
+    """Cheapest order of each customer and month: position is the price."""
+    placed = t.orders.withColumn("month", month_of("o_orderdate"))
+    return first_match(placed, ["o_custkey", "month"], "o_orderkey", ["o_totalprice", "o_orderkey"])

@@ -308,7 +308,7 @@ def dim_terms_of_parts(t):
     FROM documents
     WHERE (lang = 'fr') <> regexp_matches(text, {_quoted(DOC_TERMS[2].pattern)}, 'i')
     UNION ALL
-    SELECT doc_id, 'unknown', true, false FROM documents WHERE lang = 'de'
+    SELECT doc_id, 'unknown', true, false FROM documents
     """
 )
 def dq_pattern_controls(t):
@@ -319,7 +319,7 @@ def dq_pattern_controls(t):
         F.lit("french").alias("tech_key"),
         (F.col("lang") == "fr").alias("should_match"),
     )
-    unknown = t.documents.filter("lang = 'de'").select(
+    unknown = t.documents.select(
         F.col("doc_id").cast("string").alias("case_id"),
         "text",
         F.lit("unknown").alias("tech_key"),

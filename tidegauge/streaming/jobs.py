@@ -24,13 +24,21 @@ VERSIONS = (
 )
 
 
-def _start(stream: DataFrame, on_batch, checkpoint: str, interval: str | None) -> StreamingQuery:
+def start_batches(stream: DataFrame, on_batch, checkpoint: str, interval: str | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     if interval:
         return writer.trigger(processingTime=interval).start()
     return writer.trigger(availableNow=True).start()
 
 
+def bronze_stream(spark: SparkSession, bronze: str, max_files: int | None = None) -> DataFrame:
+    """Rows of a bronze folder, as they land."""
+    reader = spark.readStream.schema(schemas.BRONZE).format("parquet")
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.load(bronze)
+
+
 def stream_bronze(
     spark: SparkSession,
     landing: str,
@@ -51,7 +59,7 @@ def stream_bronze(
     def land(batch: DataFrame, batch_id: int) -> None:
         append_bronze(batch, out, f"{load_prefix}-{batch_id}", ingested_at, replace_load=True)
 
-    return _start(payloads, land, checkpoint, interval)
+    return start_batches(payloads, land, checkpoint, interval)
 
 
 def stream_latest(
@@ -70,16 +78,13 @@ def stream_latest(
     the newest over all batches, so late arrivals of older versions lose by their
     stamp. Nothing already written is rewritten until ``compact_latest``.
     """
-    reader = spark.readStream.schema(schemas.BRONZE).format("parquet")
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.load(bronze)
+    rows = bronze_stream(spark, bronze, max_files)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         versions = newest_versions(batch, type_value)
         versions.write.mode("overwrite").parquet(f"{out}/delta/batch={batch_id}")
 
-    return _start(rows, fold, checkpoint, interval)
+    return start_batches(rows, fold, checkpoint, interval)
 
 
 def _finished(spark: SparkSession, folder: str) -> dict[int, str]:
