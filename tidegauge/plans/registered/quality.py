@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidegauge.operators import quality
 from tidegauge.operators.staging import stage_records
@@ -17,6 +18,8 @@ from tidegauge.plans.registered.trends import (
     order_trends,
     priority_dim,
 )
+from tidegauge.session import work_path
+from tidegauge.sources.tables import ensure_table
 
 
 @query(
@@ -288,3 +291,22 @@ def dq_summary(t):
             "growth_head": quality.growth_null_head(order_trends(t), SPINE_FIRST),
         }
     )
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def contract_of_orders(t):
+    """Columns in any order, checked and put in the declared one."""
+    declared = "o_orderkey bigint, o_orderstatus string, o_totalprice double"
+    mixed = t.orders.select("o_totalprice", "o_orderstatus", F.col("o_orderkey").cast("bigint").alias("o_orderkey"))
+    return quality.enforce_contract(mixed, T.StructType.fromDDL(declared))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders")
+def ensured_table_rows(t):
+    """A table made where it is missing; asking for it again keeps its rows."""
+    rows, path = t.orders.select("o_orderkey", "o_orderstatus"), work_path(t.spark, "ensured")
+    name = f"ensured_{path.rsplit('-', 1)[1]}"
+    ensure_table(t.spark, name, rows.schema, path)
+    rows.write.insertInto(name)
+    ensure_table(t.spark, name, rows.schema, path)
+    return t.spark.table(name)

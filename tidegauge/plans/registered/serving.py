@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tidegauge.functions.dates import month_of
-from tidegauge.operators.compare import missing_keys, reconcile
+from tidegauge.operators.compare import changed_keys, missing_keys, reconcile
+from tidegauge.operators.paging import indexed_page, write_ordered
 from tidegauge.operators.series import (
     fetch_all,
     flatten_series,
@@ -25,6 +26,7 @@ from tidegauge.operators.series import (
 )
 from tidegauge.plans.registered.registry import query
 from tidegauge.plans.registered.trends import MART_SQL, order_trends
+from tidegauge.session import work_path
 
 REQUEST = trend_request("1-URGENT,5-LOW,3-MEDIUM,nothing", end="1999-03-15", start="1994-11-02")
 
@@ -145,6 +147,46 @@ def page_after_terms(t):
     return page_after(rows, order, None if before is None else [before["p_name"], before["p_partkey"]], 20)
 
 
+_LINE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber"]
+
+
+@query(
+    f"""
+    SELECT l_shipdate, l_orderkey, l_linenumber FROM lineitem
+    ORDER BY {", ".join(_LINE_ORDER)} LIMIT 500 OFFSET (SELECT count(*) * 9 // 10 FROM lineitem)
+    """
+)
+def page_of_ranges(t):
+    """A page nine tenths down all lines: only the ranges that hold it are read."""
+    path = work_path(t.spark, "ordered")
+    total = write_ordered(t.lineitem.select(*_LINE_ORDER), path, _LINE_ORDER, range_rows=1000)
+    return indexed_page(t.spark, path, _LINE_ORDER, 500, total * 9 // 10)
+
+
+@query(
+    """
+    WITH actual AS (
+        SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1
+    ), source AS (
+        SELECT o_custkey, count(*) AS n, max(o_orderdate) AS last FROM orders
+        WHERE o_orderstatus <> 'F' GROUP BY 1
+    )
+    SELECT coalesce(a.o_custkey, s.o_custkey) AS o_custkey,
+           CASE WHEN s.o_custkey IS NULL THEN 'added' WHEN a.o_custkey IS NULL THEN 'removed'
+                ELSE 'changed' END AS change
+    FROM actual AS a FULL JOIN source AS s ON a.o_custkey = s.o_custkey
+    WHERE a.n IS DISTINCT FROM s.n OR a.last IS DISTINCT FROM s.last
+    """
+)
+def changed_customers(t):
+    """Customers whose summary changes with closed orders, found by digests of buckets."""
+    def summary(orders):
+        return orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderdate").alias("last"))
+
+    open_orders = t.orders.filter("o_orderstatus <> 'F'")
+    return changed_keys(summary(t.orders), summary(open_orders), ["o_custkey"], ["n", "last"])
+
+
 @query(
     """
     SELECT count(*) AS total_count, CAST(3 AS BIGINT) AS page, CAST(20 AS BIGINT) AS page_size,
