@@ -133,8 +133,8 @@ def test_months(spark, tmp_path):
 
 
 ITEMS = [
-    ({"id": 8863, "type": "story", "time": 1175714200, "kids": [1, 2], "score": 111, "x": {"y": 1}}, None),
-    ({"id": 999888, "type": "comment", "time": 1400000000, "deleted": True}, None),
+    ({"id": 4321, "type": "story", "time": 1600000000, "kids": [1, 2], "score": 55, "x": {"y": 1}}, None),
+    ({"id": 654321, "type": "comment", "time": 1400000000, "deleted": True}, None),
     ({"id": "7", "type": "job", "time": "2024-01-01T00:00:00Z"}, None),
     ({"id": 1.0, "type": "poll", "time": 1.5}, None),
     ({"type": "story", "time": 1}, "missing_id"),
@@ -161,7 +161,7 @@ def test_validate_items(spark):
     assert good_plan.count("from_json") == 1
     good, bad = validate_items(frame)
     assert good.schema == schemas.ITEM or good.columns == schemas.ITEM.names
-    assert [r.id for r in good.collect()] == [8863, 999888, 7, 1]
+    assert [r.id for r in good.collect()] == [4321, 654321, 7, 1]
     story = good.first()
     assert (story.kids, story.parts, story.deleted, story.dead, story.by) == ([1, 2], [], False, False, None)
     assert bad.count() == len(ITEMS) - 4
@@ -172,13 +172,13 @@ def test_validate_users(spark):
     good, bad = validate_users(
         _payloads(
             spark,
-            {"id": "jl", "created": 1173923446, "karma": 2937, "submitted": [8265435, 8168423]},
+            {"id": "w", "created": 1600000000, "karma": 12, "submitted": [31, 30]},
             {"id": "x", "created": 1},
             {"id": "y", "created": "?", "karma": 1},
         )
     )
     assert [(r.id, r.karma, r.about, r.submitted) for r in good.collect()] == [
-        ("jl", 2937, None, [8265435, 8168423])
+        ("w", 12, None, [31, 30])
     ]
     assert sorted(r.reason for r in bad.collect()) == ["bad_created", "missing_karma"]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+# Field names and types of the data format (bronze, items, users).
 BRONZE = T.StructType(
     [
         T.StructField("load_id", T.StringType()),

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -83,31 +84,38 @@ def stream_latest(
     def fold(batch: DataFrame, batch_id: int) -> None:
         versions = newest_versions(batch, type_value)
         versions.write.mode("overwrite").parquet(f"{out}/delta/batch={batch_id}")
+        _commit(spark, out, "delta", batch_id)
 
     return start_batches(rows, fold, checkpoint, interval)
 
 
-def _finished(spark: SparkSession, folder: str) -> dict[int, str]:
-    """Committed sub-folders ``name=<number>`` of a folder, by number."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(root):
+COMMITTED = "kind string, number bigint"
+
+
+def _commit(spark: SparkSession, out: str, kind: str, number: int) -> None:
+    """Note that a folder is whole; noting it twice changes nothing."""
+    row = spark.createDataFrame([(kind, number)], COMMITTED)
+    row.coalesce(1).write.mode("append").parquet(f"{out}/committed")
+
+
+def _finished(spark: SparkSession, out: str, kind: str, name: str) -> dict[int, str]:
+    """Committed folders ``<kind>/<name>=<number>``, by number."""
+    try:
+        committed = spark.read.schema(COMMITTED).parquet(f"{out}/committed")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return {}
-    found = {}
-    for status in files.listStatus(root):
-        path = status.getPath()
-        if files.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-            found[int(path.getName().split("=")[1])] = path.toString()
-    return found
+    numbers = committed.filter(F.col("kind") == kind).select("number").distinct().collect()
+    return {r["number"]: f"{out}/{kind}/{name}={r['number']}" for r in numbers}
 
 
 def _versions(spark: SparkSession, out: str, upto: int | None = None) -> DataFrame:
-    bases = _finished(spark, f"{out}/base")
+    bases = _finished(spark, out, "base", "upto")
     base = max(bases, default=-1)
     deltas = {
         n: path
-        for n, path in _finished(spark, f"{out}/delta").items()
+        for n, path in _finished(spark, out, "delta", "batch").items()
         if n > base and (upto is None or n <= upto)
     }
     paths = ([bases[base]] if base >= 0 else []) + list(deltas.values())
@@ -125,16 +133,17 @@ def read_latest(spark: SparkSession, out: str, tag_replacement: str = "") -> Dat
 def compact_latest(spark: SparkSession, out: str) -> int | None:
     """Fold all committed batches into a new base; returns the last batch folded.
 
-    The base is named after that batch and counts once its commit marker exists,
+    The base is named after that batch and counts once it is noted as committed,
     so readers switch to it at once; folders it replaces are left to retention.
     """
-    deltas = _finished(spark, f"{out}/delta")
+    deltas = _finished(spark, out, "delta", "batch")
     if not deltas:
         return None
     last = max(deltas)
-    if last not in _finished(spark, f"{out}/base"):
+    if last not in _finished(spark, out, "base", "upto"):
         versions = _versions(spark, out, upto=last)
         versions.write.mode("overwrite").parquet(f"{out}/base/upto={last}")
+        _commit(spark, out, "base", last)
     return last
 
 
