@@ -87,3 +87,35 @@ def test_month_runs_filter_raw_stamps(spark, tmp_path):
     rows = spark.read.parquet(str(tmp_path / "t"))
     plan = _plan(run_partitions(rows, "at", [dt.date(2024, 1, 1)], lambda d: d, dt.date(2024, 2, 1)))
     assert "PushedFilters: [IsNotNull(at), GreaterThanOrEqual(at" in plan
+
+
+def test_trend_checks_in_one_scan(spark):
+    """Counts over faulty marts equal the numbers of rows of the checks one by one."""
+    import datetime as dt
+
+    from tidegauge.operators import quality
+
+    start, as_of = dt.date(2023, 1, 1), dt.date(2024, 6, 15)
+    months = [dt.date(2023 + m // 12, m % 12 + 1, 1) for m in range(18)]
+    shares = [0.0, 0.25, None, 1.5, 0.5]
+    rows = [
+        (m, key, None if i % 7 == 3 else "n", i % 4, 4 if i % 5 else None, shares[(i + j) % 5], (i + j) % 3 * 1.0 or None, (i * j) % 2 * 1.0 or None)
+        for j, key in enumerate(["a", "b", None]) for i, m in enumerate(months)
+    ]
+    schema = (
+        "month date, tech_key string, tech_name string, mention_count long, total_jobs long, "
+        "pct_share double, mom_growth_pct double, yoy_growth_pct double"
+    )
+    columns = ["month", "tech_key", "tech_name", "total_jobs", "pct_share"]
+    for trends in (spark.createDataFrame(rows, schema), spark.createDataFrame(rows[:17], schema), spark.createDataFrame([], schema)):
+        one_by_one = {
+            "trends_not_null": quality.not_null(trends, columns),
+            "trends_bounds": quality.bounds(trends),
+            "growth_head": quality.growth_null_head(trends, start),
+            "growth_zero_base": quality.growth_null_zero(trends),
+            "recent_month": quality.recency(trends, as_of),
+        }
+        counted = dict(map(tuple, quality.trend_violations(trends, columns, start, as_of).collect()))
+        assert counted == {name: frame.count() for name, frame in one_by_one.items()}
+    everything = dict(map(tuple, quality.trend_violations(spark.createDataFrame(rows, schema), columns, start, as_of).collect()))
+    assert all(everything[name] for name in ("trends_not_null", "trends_bounds", "growth_head", "growth_zero_base"))

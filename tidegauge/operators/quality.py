@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,23 +95,36 @@ def stability(trends: DataFrame, pairs: DataFrame, id_col: str = "job_id", key:
     )
 
 
-def growth_null_head(trends: DataFrame, start: dt.date, key: str = "tech_key") -> DataFrame:
-    """Growth values where no earlier period exists: the first month, the first year."""
+def _early_growth(start: dt.date) -> Column:
     first = start.replace(day=1)
-    bad = ((F.col("month") == F.lit(first)) & F.col("mom_growth_pct").isNotNull()) | (
+    return ((F.col("month") == F.lit(first)) & F.col("mom_growth_pct").isNotNull()) | (
         (F.col("month") < F.lit(first.replace(year=first.year + 1)))
         & F.col("yoy_growth_pct").isNotNull()
     )
-    return trends.filter(bad).select("month", key, "mom_growth_pct", "yoy_growth_pct")
+
+
+def _growth_over_zero() -> Column:
+    """Over rows with the lagged shares."""
+    return ((F.col("pct_share_lag_1") == 0) & F.col("mom_growth_pct").isNotNull()) | (
+        (F.col("pct_share_lag_12") == 0) & F.col("yoy_growth_pct").isNotNull()
+    )
+
+
+def _wrong_share() -> Column:
+    share = F.col("pct_share")
+    expected = safe_share(F.col("mention_count"), F.col("total_jobs"))
+    return share.isNull() | ~share.between(0.0, 1.0) | (share != expected)
+
+
+def growth_null_head(trends: DataFrame, start: dt.date, key: str = "tech_key") -> DataFrame:
+    """Growth values where no earlier period exists: the first month, the first year."""
+    return trends.filter(_early_growth(start)).select("month", key, "mom_growth_pct", "yoy_growth_pct")
 
 
 def growth_null_zero(trends: DataFrame, key: str = "tech_key") -> DataFrame:
     """Growth values over a zero share."""
     shares = lagged(trends, key, "month", "pct_share", [1, 12])
-    bad = ((F.col("pct_share_lag_1") == 0) & F.col("mom_growth_pct").isNotNull()) | (
-        (F.col("pct_share_lag_12") == 0) & F.col("yoy_growth_pct").isNotNull()
-    )
-    return shares.filter(bad).select(
+    return shares.filter(_growth_over_zero()).select(
         "month",
         key,
         F.col("pct_share_lag_1").alias("prev_month_share"),
@@ -141,10 +154,7 @@ def spine_gaps(trends: DataFrame, dim: DataFrame, start: dt.date, end: dt.date,
 
 def bounds(trends: DataFrame, key: str = "tech_key") -> DataFrame:
     """Shares outside 0..1 or different from count over total."""
-    share = F.col("pct_share")
-    expected = safe_share(F.col("mention_count"), F.col("total_jobs"))
-    wrong = share.isNull() | ~share.between(0.0, 1.0) | (share != expected)
-    return trends.filter(wrong).select("month", key, "mention_count", "total_jobs", "pct_share")
+    return trends.filter(_wrong_share()).select("month", key, "mention_count", "total_jobs", "pct_share")
 
 
 def conserved(silver: DataFrame, bronze: DataFrame, keys: list[str], silver_col: str,
@@ -167,6 +177,29 @@ def residual_tags(df: DataFrame, column: str) -> DataFrame:
     return df.filter(F.col(column).rlike("<[^>]+>"))
 
 
+def trend_violations(
+    trends: DataFrame, columns: list[str], start: dt.date, as_of: dt.date, key: str = "tech_key"
+) -> DataFrame:
+    """The checks of the trend mart that need no other table, counted in one scan.
+
+    ``check_name, violations``, with the numbers of rows that ``not_null`` (over ``columns``),
+    ``bounds``, ``growth_null_head``, ``growth_null_zero`` and ``recency`` would return.
+    """
+    last = (as_of.replace(day=1) - dt.timedelta(days=1)).replace(day=1)
+    newest = F.max(F.when(F.col("month") == F.lit(last), F.col("total_jobs")))
+    holes = reduce(lambda a, b: a + b, [(F.count_if(F.col(c).isNull()) > 0).cast("bigint") for c in columns])
+    counts = {
+        "trends_not_null": holes,
+        "trends_bounds": F.count_if(_wrong_share()),
+        "growth_head": F.count_if(_early_growth(start)),
+        "growth_zero_base": F.count_if(_growth_over_zero()),
+        "recent_month": (F.coalesce(newest, F.lit(0)) == 0).cast("bigint"),
+    }
+    row = lagged(trends, key, "month", "pct_share", [1, 12]).agg(*[c.alias(name) for name, c in counts.items()])
+    named = [F.struct(F.lit(name).alias("check_name"), F.col(name).alias("violations")) for name in counts]
+    return row.select(F.inline(F.array(*named)))
+
+
 def count_violations(checks: dict[str, DataFrame]) -> DataFrame:
     """Number of violating rows per check: ``check_name, violations``."""
     counts = [
