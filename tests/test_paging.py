@@ -1,8 +1,10 @@
 """Pages by ranges equal offsets; tables compared by digests equal a comparison of all rows."""
 
 import random
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.operators.compare import changed_keys
 from tidegauge.operators.paging import indexed_page, indexed_total, write_ordered
@@ -36,6 +38,23 @@ def test_pages_of_nothing(spark, tmp_path):
         write_ordered(spark.createDataFrame([], SCHEMA), path, ["id"], range_rows=0)
 
 
+def test_ranges_share_files(spark, tmp_path, monkeypatch):
+    """Files follow the parts, however short the ranges are."""
+    frame = spark.range(0, 3000, numPartitions=3).selectExpr("pmod(id * 7919, 3000) AS id")
+    path = str(tmp_path / "short")
+    assert write_ordered(frame, path, ["id"], range_rows=10) == 3000
+    assert len(list(Path(path, "rows").rglob("*.parquet"))) == 1
+    monkeypatch.setattr("tidegauge.operators.paging.PART_ROWS", 400)
+    path = str(tmp_path / "parts")
+    assert write_ordered(frame, path, [F.desc("id")], range_rows=10) == 3000
+    assert 1 < len(list(Path(path, "rows").rglob("*.parquet"))) <= 8
+    for limit, offset in [(20, 0), (5, 1234), (500, 333), (1700, 601), (3000, 0), (9, 2996), (0, 7), (3, 3000)]:
+        page = indexed_page(spark, path, [F.desc("id")], limit, offset)
+        assert [r["id"] for r in page.collect()] == list(range(3000))[::-1][offset : offset + limit], (limit, offset)
+    one = indexed_page(spark, path, [F.desc("id")], 5, 1234)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(range__)" in one and "PartitionFilters: [isnotnull(part__" in one
+
+
 ROWS = "key long, other string, value double"
 
 

@@ -1,21 +1,26 @@
 """Pages of a sorted table by number: a table of counts says which ranges hold a page.
 
-The rows are written once, cut into ranges of their order. A page then reads the ranges that
-hold it, and one task sorts no more than these, however deep the page is. Equal values of the
-order lie in one range, so the order must be total, as for any paging.
+The rows are written once, sorted, in parts of one file each; within a part every so many rows
+are a range, numbered by place. A page then reads the ranges that hold it, and one task sorts no
+more than these, however deep the page is. Files, tasks and counts grow with the parts, not with
+the ranges. Equal values of the order may lie in two ranges of a part, so the order must be
+total, as for any paging.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Rows a range should have: what a page reads, besides its own, at either end.
+# Rows a range has: what a page reads, besides its own, at either end.
 RANGE_ROWS = 100_000
+# Rows a part should have: what one task sorts and writes as one file.
+PART_ROWS = 500_000
 
-_RANGE = "range__"
+_PART, _RANGE = "part__", "range__"
 
 
 def write_ordered(
@@ -23,25 +28,31 @@ def write_ordered(
 ) -> int:
     """Write a table in ranges of ``order`` with their counts; returns the number of rows.
 
-    Nulls come first, as in ``orderBy``. Range bounds are sampled, so ranges are of about
-    equal size only.
+    Nulls come first, as in ``orderBy``. Bounds of parts are sampled, so parts are of about
+    equal size only; their ranges have ``range_rows`` rows each, the last one what is left.
     """
     if range_rows < 1:
         raise ValueError("a range must hold rows")
     total = df.count()
-    ranges = max(1, -(-total // range_rows))
+    parts = max(1, -(-total // max(range_rows, PART_ROWS)))
     spark, rows = df.sparkSession, f"{path}/rows"
-    cut = df.repartitionByRange(ranges, *order).withColumn(_RANGE, F.spark_partition_id())
-    cut.write.mode("overwrite").partitionBy(_RANGE).parquet(rows)
+    cut = df.repartitionByRange(parts, *order).withColumn(_PART, F.spark_partition_id())
+    # Of an id, the lower 33 bits are the row's place in its part.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut.sortWithinPartitions(_PART, *order).withColumn(_RANGE, F.floor(place / range_rows))
+    # Pages of the file about as long as a range: what lies beside them is not decoded.
+    written = placed.write.option("parquet.page.row.count.limit", min(max(range_rows, 1000), 20_000))
+    written.mode("overwrite").partitionBy(_PART).parquet(rows)
     df.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
-    counts = _rows(spark, path).groupBy(_RANGE).agg(F.count(F.lit(1)).alias("rows"))
+    counts = _rows(spark, path).groupBy(_PART).agg(F.count(F.lit(1)).alias("rows"))
+    counts = counts.withColumn("range_rows", F.lit(range_rows).cast("long"))
     counts.coalesce(1).write.mode("overwrite").parquet(f"{path}/counts")
     return total
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(f"{path}/schema").schema
-    return spark.read.schema(schema.add(_RANGE, "integer")).parquet(f"{path}/rows")
+    return spark.read.schema(schema.add(_RANGE, "long").add(_PART, "integer")).parquet(f"{path}/rows")
 
 
 def indexed_page(
@@ -49,20 +60,31 @@ def indexed_page(
 ) -> DataFrame:
     """Rows ``offset`` to ``offset + limit`` of a table from ``write_ordered``, same order.
 
-    The counts that come to the driver are one row a range.
+    The counts that come to the driver are one row a part.
     """
     if limit < 0:
         raise ValueError("limit must be non-negative")
     if offset < 0:
         raise ValueError("offset must be non-negative")
-    before, skipped, holding = 0, None, []
-    for row in spark.read.parquet(f"{path}/counts").orderBy(_RANGE).collect():
-        if before < offset + limit and before + row["rows"] > offset:
-            skipped = before if skipped is None else skipped
-            holding.append(row[_RANGE])
+    before, skipped, holding = 0, 0, []
+    for row in spark.read.parquet(f"{path}/counts").orderBy(_PART).collect():
+        start, stop = max(offset - before, 0), min(offset + limit - before, row["rows"])
+        if start < stop:
+            first, last = start // row["range_rows"], (stop - 1) // row["range_rows"]
+            if not holding:
+                skipped = start - first * row["range_rows"]
+            holding.append((row[_PART], first, last))
         before += row["rows"]
-    rows = _rows(spark, path).filter(F.col(_RANGE).isin(holding)).drop(_RANGE)
-    return rows.orderBy(*order).offset(offset - (skipped or 0) if holding else 0).limit(limit)
+    rows, part, place = _rows(spark, path), F.col(_PART), F.col(_RANGE)
+    if not holding:
+        found = rows.filter(F.lit(False))
+    else:
+        # Parts between the first and the last are read as a whole.
+        pieces = [(part == p) & place.between(a, b) for p, a, b in dict.fromkeys([holding[0], holding[-1]])]
+        if len(holding) > 2:
+            pieces.append((part > holding[0][0]) & (part < holding[-1][0]))
+        found = reduce(DataFrame.unionAll, [rows.filter(piece) for piece in pieces])
+    return found.drop(_PART, _RANGE).orderBy(*order).offset(skipped).limit(limit)
 
 
 def indexed_total(spark: SparkSession, path: str) -> int:
