@@ -83,6 +83,24 @@ def test_matches_as_written(spark):
         assert rule != "B" or [h[2] for h in hits if (h[0], h[3]) == (doc, "C")] == want
 
 
+def test_matches_are_found_once_a_line(spark):
+    """However many matches a line has, and only in lines that a match may be in."""
+    text = "plain\n" + "aB x " * 3000 + "\nﬁAB ab\nKab\nıab no\n"
+    frame = spark.createDataFrame([(1, text), (2, "nothing here"), (3, "AB allowed")], "doc_id int, text string")
+    rules, allow = [ScanRule(r"ab(?: x)?", "One"), ScanRule(r"[fk]i?a", "Two")], ["allow"]
+    by_line = scan_rules(to_lines(frame, "doc_id", "text"), rules, allow=allow)
+    for hits in (by_line, scan_documents(frame, "text", rules, allow=allow)):
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1
+        assert "lower(" in plan[plan.index("ArrowEvalPython") :]
+        # Once for either spelling of a pattern, and rule.
+        assert plan.count("regexp_extract_all(") == 4
+        found = _hits(hits)
+        assert [h[2:] for h in found if h[1] == 2] == [("aB x", "One")] * 3000
+        rest = [(3, "ab", "One"), (3, "ab", "One"), (3, "fia", "Two"), (4, "Ka", "Two"), (4, "ab", "One"), (5, "ab", "One")]
+        assert [h[1:] for h in found if h[1] != 2] == sorted(rest)
+
+
 def test_scope(docs):
     scoped = scope_documents(
         docs, "path", [".py", ".md"], ["node_modules", "tools/checks/tests", "doc"], ["docs/ok.md"]

@@ -83,6 +83,12 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: unicodedata.normalize("NFKC", s).lower(), na_action="ignore")
 
 
+def needs_nfkc(col: Column) -> Column:
+    """False for text of which NFKC and lower case are its lower case."""
+    not_ascii = F.octet_length(col) != F.char_length(col)
+    return not_ascii & col.rlike(NFKC_UNSAFE_PATTERN)
+
+
 def nfkc_lower(col: Column | str) -> Column:
     """NFKC normalisation and lower case.
 
@@ -90,9 +96,7 @@ def nfkc_lower(col: Column | str) -> Column:
     row that does not need it.
     """
     col = F.col(col) if isinstance(col, str) else col
-    not_ascii = F.octet_length(col) != F.char_length(col)
-    needs = not_ascii & col.rlike(NFKC_UNSAFE_PATTERN)
-    return F.coalesce(_nfkc(F.when(needs, col)), F.lower(col))
+    return F.coalesce(_nfkc(F.when(needs_nfkc(col), col)), F.lower(col))
 
 
 def contains_ignore_case(col: Column | str, query: str) -> Column:

@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.loops import needed_literals
 from tidegauge.functions.regex import (
+    contains_any,
     folds_oddly,
     has_references,
     java_pattern,
     lower_case_pattern,
     matches_lower_case,
 )
-from tidegauge.functions.text import LINE_BREAK, nfkc_lower, without_last_break
+from tidegauge.functions.text import LINE_BREAK, needs_nfkc, nfkc_lower, without_last_break
 from tidegauge.session import spread
 
 # Rules that one joined pattern stands before.
@@ -134,24 +137,27 @@ def _as_written(norm: Column, line: Column, matches: Column, pattern: str) -> Co
     changes the length of a line places do not carry over: the normalised text stays.
     """
     between = F.split(norm, _general(pattern), -1)
-    ends = F.transform(
-        matches,
-        lambda m, i: F.aggregate(
-            F.zip_with(F.slice(between, 1, i + 1), F.slice(matches, 1, i), lambda a, b: F.char_length(a) + F.coalesce(F.char_length(b), F.lit(0))),
-            F.lit(0),
-            lambda total, n: total + n,
-        ),
-    )
-    cut = F.zip_with(matches, ends, lambda m, at: F.substring(line, at + 1, F.char_length(m)))
     same = (F.char_length(norm) == F.char_length(line)) & (F.size(between) == F.size(matches) + 1)
-    return F.when(same, cut).otherwise(matches)
+    pairs = F.zip_with(matches, F.slice(between, 1, F.size(matches)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
+
+    def cut(done: Column, pair: Column) -> Column:
+        start, length = done["at"] + F.char_length(pair["b"]), F.char_length(pair["m"])
+        found = F.array_append(done["found"], F.substring(line, start + 1, length))
+        return F.struct((start + length).alias("at"), found.alias("found"))
+
+    nothing = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("found"))
+    written = F.aggregate(pairs, nothing, cut, lambda done: done["found"])
+    return F.when((norm != line) & same, written).otherwise(matches)
 
 
 def _rule_hits(norm: Column, line: Column, rule: ScanRule, name: str | None) -> Column:
-    matches = _matches(norm, rule.pattern)
-    written = F.when(F.size(matches) > 0, _as_written(norm, line, matches, rule.pattern)).otherwise(matches)
+    def written(matches: Column) -> Column:
+        return F.when(F.size(matches) > 0, _as_written(norm, line, matches, rule.pattern)).otherwise(matches)
+
+    # As a variable of a lambda the matches are found once; as an expression, wherever they occur.
     found = F.transform(
-        written, lambda m: F.struct(F.lit(rule.description).alias("rule"), m.alias("match_text"))
+        F.flatten(F.transform(F.array(_matches(norm, rule.pattern)), written)),
+        lambda m: F.struct(F.lit(rule.description).alias("rule"), m.alias("match_text")),
     )
     if rule.exceptions and name:
         exempt = F.coalesce(F.col(name).isin(list(rule.exceptions)), F.lit(False))
@@ -160,14 +166,21 @@ def _rule_hits(norm: Column, line: Column, rule: ScanRule, name: str | None) ->
 
 
 def _some_rule_matches(norm: Column, rules: Sequence[ScanRule]) -> Column:
-    """One pattern for several rules: most lines pass none of them and cost one match."""
+    """Tests that most lines fail: substrings a match must hold stand before a pattern, and
+    one pattern stands for several rules without any."""
     plain = [r.pattern for r in rules if matches_lower_case(r.pattern)]
     others = [r.pattern for r in rules if not matches_lower_case(r.pattern)]
     joined = lambda form, some: "|".join(f"(?:{form(p)})" for p in some)
-    test = F.lit(False)
+    literals = {p: needed_literals(p) for p in plain}
+    tests = [contains_any(norm, literals[p]) & norm.rlike(_lower(p)) for p in plain if literals[p]]
+    rest = [p for p in plain if not literals[p]]
+    if rest:
+        tests.append(norm.rlike(joined(_lower, rest)))
     if plain:
-        test = folds_oddly(norm, "\u0131") | norm.rlike(joined(_lower, plain))
-    return test | norm.rlike(joined(_general, others)) if others else test
+        tests.append(folds_oddly(norm, "\u0131"))
+    if others:
+        tests.append(norm.rlike(joined(_general, others)))
+    return reduce(lambda a, b: a | b, tests)
 
 
 def scan_rules(
@@ -191,9 +204,7 @@ def scan_rules(
     ``exceptions(rule, <name or doc>)``.
     """
     lines = _unskipped(lines, "line", skip_prefix)
-    columns = _columns(doc, keep, name)
-    normal = lines.select(*columns, "line_no", F.col("line").alias(_LINE), nfkc_lower("line").alias(_NORM))
-    return _scan(normal, rules, doc, allow, name, keep, exceptions)
+    return _scan(lines, rules, doc, allow, name, keep, exceptions)
 
 
 def scan_documents(
@@ -210,25 +221,11 @@ def scan_documents(
     skip_prefix: str | None = None,
     partitions: int | None = None,
 ) -> DataFrame:
-    """``to_lines`` and ``scan_rules`` in one, normalising each text once as a whole.
-
-    Normalisation neither makes nor removes line ends, so the result is the same
-    with one call per document instead of one per line. ``partitions`` spreads the
-    documents first.
-    """
+    """``to_lines`` and ``scan_rules`` in one. ``partitions`` spreads the documents first."""
     columns = _columns(doc, keep, name)
     narrow = spread(df.select(*columns, text), partitions)
-    whole = narrow.select(*columns, F.col(text).alias(_LINE), nfkc_lower(text).alias(_NORM))
-    mark = _MESSAGE_BREAK if message else LINE_BREAK
-    parts = whole.select(*columns, *(F.split(F.col(c), mark).alias(c) for c in (_LINE, _NORM)))
-    both = F.arrays_zip(without_last_break(F.col(_LINE)), without_last_break(F.col(_NORM)))
-    lines = parts.select(*columns, F.posexplode(both).alias("__pos", "__both")).select(
-        *columns,
-        (F.col("__pos") + 1).alias("line_no"),
-        F.col("__both").getField("0").alias(_LINE),
-        F.col("__both").getField("1").alias(_NORM),
-    )
-    return _scan(_unskipped(lines, _LINE, skip_prefix), rules, doc, allow, name, keep, exceptions)
+    lines = _split_lines(narrow, doc, [c for c in columns if c != doc], F.col(text), message)
+    return _scan(_unskipped(lines, "line", skip_prefix), rules, doc, allow, name, keep, exceptions)
 
 
 def _unskipped(lines: DataFrame, line: str, prefix: str | None) -> DataFrame:
@@ -243,7 +240,7 @@ def _columns(doc: str, keep: Sequence[str], name: str | None) -> list[str]:
 
 
 def _scan(
-    normal: DataFrame,
+    lines: DataFrame,
     rules: Sequence[ScanRule],
     doc: str,
     allow: Sequence[str],
@@ -254,17 +251,25 @@ def _scan(
     if not rules:
         raise ValueError("a scan needs at least one rule")
     columns, norm, line = _columns(doc, keep, name), F.col(_NORM), F.col(_LINE)
-    for pattern in allow:
-        normal = normal.filter(~norm.rlike(_general(pattern)))
-    none = F.array().cast("array<struct<rule:string,match_text:string>>")
     # Groups would change their numbers in a joined pattern, and names may clash there.
-    alone = [r for r in rules if has_references(r.pattern)]
+    alone = [[r] for r in rules if has_references(r.pattern)]
     joined = [r for r in rules if not has_references(r.pattern)]
-    groups = [_rule_hits(norm, line, r, name) for r in alone]
-    for first in range(0, len(joined), RULES_PER_TEST):
-        some = joined[first : first + RULES_PER_TEST]
-        found = F.concat(*(_rule_hits(norm, line, r, name) for r in some))
-        groups.append(F.when(_some_rule_matches(norm, some), found).otherwise(none))
+    sets = alone + [joined[i : i + RULES_PER_TEST] for i in range(0, len(joined), RULES_PER_TEST)]
+
+    def any_matches(text: Column) -> Column:
+        return reduce(lambda a, b: a | b, [_some_rule_matches(text, some) for some in sets])
+
+    # Lines without a match go no further, but for those that lower case does not normalise.
+    # As a variable of a lambda the lower case is made once, not once a test.
+    found_low = F.exists(F.array(F.lower(F.col("line"))), any_matches)
+    passed = lines.filter(needs_nfkc(F.col("line")) | found_low)
+    normal = passed.select(*columns, "line_no", F.col("line").alias(_LINE), nfkc_lower("line").alias(_NORM))
+    none = F.array().cast("array<struct<rule:string,match_text:string>>")
+    barred = [norm.rlike(_general(pattern)) for pattern in allow]
+    groups = []
+    for some in sets:
+        found, test = F.concat(*(_rule_hits(norm, line, r, name) for r in some)), _some_rule_matches(norm, some)
+        groups.append(F.when(reduce(lambda a, b: a & ~b, barred, test), found).otherwise(none))
     # All rules in one projection: the text is read and normalised once, however many.
     hits = normal.select(*columns, "line_no", F.explode(F.concat(*groups)).alias("__hit")).select(
         *columns,
