@@ -101,6 +101,17 @@ def test_matches_are_found_once_a_line(spark):
         assert [h[1:] for h in found if h[1] != 2] == sorted(rest)
 
 
+def test_allowlist_reads_lines_with_a_match_only(docs):
+    """Its patterns stand behind the rules' tests, in no filter of all lines."""
+    for hits in (
+        scan_documents(docs, "text", RULES, allow=["vendor_key"]),
+        scan_rules(to_lines(docs, "doc_id", "text"), RULES, allow=["vendor_key"]),
+    ):
+        plan = hits._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not [node for node in plan if "Filter" in node and "vendor_key" in node]
+        assert {h[0] for h in _hits(hits)} == {1, 2, 4, 5, 6}
+
+
 def test_scope(docs):
     scoped = scope_documents(
         docs, "path", [".py", ".md"], ["node_modules", "tools/checks/tests", "doc"], ["docs/ok.md"]
