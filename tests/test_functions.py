@@ -18,7 +18,13 @@ from tidegauge.functions.dates import (
 )
 from tidegauge.functions.jsonfields import is_json, json_project
 from tidegauge.functions.metrics import growth_pct, pct_diff, safe_share
-from tidegauge.functions.text import NFKC_UNSAFE_PATTERN, clean_html, contains_ignore_case, nfkc_lower
+from tidegauge.functions.text import (
+    NFKC_UNSAFE_PATTERN,
+    clean_html,
+    contains_ignore_case,
+    needs_nfkc,
+    nfkc_lower,
+)
 from tidegauge.operators.scan import to_lines
 
 
@@ -77,6 +83,24 @@ def test_characters_kept_in_the_jvm_are_stable():
     assert unicodedata.normalize("NFKC", text) == text
 
 
+def test_one_range_is_tried_at_characters_kept_in_the_jvm(spark):
+    """A class of many ranges, tried at every character, took most of a scan."""
+    import re
+
+    ahead, held = re.fullmatch(r"\(\?=(\[.-.\])\)(\[[^^].*\])", NFKC_UNSAFE_PATTERN).groups()
+    every = [chr(c) for c in range(0x110000)]
+    assert not any(re.match(ahead, c) for c in every[:0xA0])
+    assert all(re.match(ahead, c) for c in every if re.match(held, c))
+    # The pattern as it was, and as Spark reads it.
+    kept = re.compile(
+        "[\u0000-\u009f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb"
+        "\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e]"
+    )
+    assert all(bool(re.match(held, c)) != bool(kept.match(c)) for c in every)
+    some = [*every[:0x250], "\u0301", "\ufb01", "\uffff", "\U0001d400", "\U0010ffff"]
+    assert _map(spark, ["aé" + c for c in some], needs_nfkc(F.col("v"))) == [not kept.match(c) for c in some]
+
+
 def test_lines_like_universal_newlines(spark):
     texts = ["a\nb", "a\r\nb\rc\n", "", "\n", "\n\n", "x y\x0bz", "\r\n\r\n", "end\n\n"]
     frame = spark.createDataFrame(list(enumerate(texts)), "d int, text string")

@@ -69,13 +69,14 @@ def text_or_empty(col: Column | str) -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-# Characters below U+0180 that NFKC leaves alone in any combination. Text made of
-# them only (all of English, French, German, Spanish) never leaves the JVM.
-_NFKC_SAFE = (
-    "\u0000-\u009f\u00a1-\u00a7\u00a9\u00ab-\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb"
-    "\u00bf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e"
+# Characters that NFKC may change: all but those below U+0180 that it leaves alone in any
+# combination. Text without them (all of English, French, German, Spanish) never leaves the
+# JVM. java.util.regex tries the ranges of a class one by one, so one range stands before it.
+_NFKC_UNSAFE = (
+    "\u00a0\u00a8\u00aa\u00af\u00b2\u00b3\u00b4\u00b5\u00b8\u00b9\u00ba\u00bc\u00bd\u00be"
+    "\u0132\u0133\u013f\u0140\u0149\u017f-\U0010ffff"
 )
-NFKC_UNSAFE_PATTERN = f"[^{_NFKC_SAFE}]"
+NFKC_UNSAFE_PATTERN = f"(?=[\u00a0-\U0010ffff])[{_NFKC_UNSAFE}]"
 
 
 @F.pandas_udf(T.StringType())
@@ -105,7 +106,7 @@ def contains_ignore_case(col: Column | str, query: str) -> Column:
     return F.lower(col).contains(query.strip(" \t\n\r\f\v").lower())
 
 
-LINE_BREAK = "\r\n|\r|\n"
+LINE_BREAK = "\r\n?|\n"
 
 
 def without_last_break(parts: Column) -> Column:
